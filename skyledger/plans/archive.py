@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyledger.functions import timeparse
-from skyledger.operators import sessions, spikes, timestamps
+from skyledger.operators import drift, eav, sessions, spikes, timestamps
 from skyledger.session import read
 
 #: What each measured column can be (TESTDATA.md, p3_found).
@@ -17,6 +17,42 @@ MEASURES = {
 }
 
 
+def _header_changes(spark: SparkSession, sf: str) -> DataFrame:
+    return drift.changes(drift.header_fields(read(spark, sf, "hdus")), read(spark, sf, "keydict"))
+
+
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Every change of the headers between a rig's batches and of the rules between revisions."""
+    rules = drift.json_fields(read(spark, sf, "app_rules"), "apps", "revision", "app_id", "rule")
+    both = _header_changes(spark, sf).unionByName(drift.changes(rules))
+    return both.select(F.col("source").alias("rig"), F.col("batch").alias("batch_no"), F.col("path").alias("keyword"), "change", F.col("new_path").alias("new_keyword"))
+
+
+def p1_alternatives(spark: SparkSession, sf: str) -> DataFrame:
+    """The tagged union of each batch: every keyword and JSON field with its types and the files that carry each."""
+    rules = drift.json_fields(read(spark, sf, "app_rules"), "apps", "revision", "app_id", "rule")
+    both = drift.header_fields(read(spark, sf, "hdus")).unionByName(rules)
+    return drift.alternatives(both).select(F.col("source").alias("rig"), F.col("batch").alias("batch_no"), F.col("path").alias("keyword"), "type", "files")
+
+
+def p1_table(spark: SparkSession, sf: str) -> DataFrame:
+    """One consistent table of all headers."""
+    return drift.unify(read(spark, sf, "hdus"), _header_changes(spark, sf).filter(F.col("change") == "renamed"))
+
+
+def _cells(spark: SparkSession, sf: str) -> DataFrame:
+    return eav.typed(read(spark, sf, "cards"), read(spark, sf, "keydict"))
+
+
+def p2_wide(spark: SparkSession, sf: str) -> DataFrame:
+    """One row per file with a typed column for each field of the dictionary."""
+    return eav.widen(_cells(spark, sf), eav.fields_of(read(spark, sf, "keydict")))
+
+
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    return eav.problems(_cells(spark, sf)).withColumnRenamed("entity", "frame_id")
+
+
 def p3_faults(spark: SparkSession, sf: str) -> DataFrame:
     """Faulty readings of the three measured columns with value and reason."""
     frames, subgrades, rigs = (read(spark, sf, t) for t in ("frames", "subgrades", "rigs"))
@@ -63,4 +99,4 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     return timestamps.normalised(*(read(spark, sf, t) for t in ("frames", "subgrades", "rigs")))
 
 
-QUERIES = {"p3_found": p3_found, "p3_faults": p3_faults, "p4_found": p4_found, "p4_sessions": p4_sessions, "p5_found": p5_found}
+QUERIES = {"p1_found": p1_found, "p1_alternatives": p1_alternatives, "p1_table": p1_table, "p2_found": p2_found, "p2_wide": p2_wide, "p3_found": p3_found, "p3_faults": p3_faults, "p4_found": p4_found, "p4_sessions": p4_sessions, "p5_found": p5_found}
