@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyledger.llm import mapping
+from skyledger.llm import mapping, reading
 from skyledger.session import read
 
 
@@ -31,5 +31,14 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     return p6_mapping(spark, sf).select("frame_id", "field", F.col("ref_id").cast("int").alias("ref_id")).distinct()
 
 
-QUERIES = {"p6_found": p6_found, "p6_mapping": p6_mapping}
+def p9_levels(spark: SparkSession, sf: str) -> DataFrame:
+    """Surprisals, difficulty and reading level of every speech long enough to judge."""
+    return reading.reading_levels(read(spark, sf, "documents"), read(spark, sf, "level_sample"))
+
+
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p9_levels(spark, sf).select("doc_id", "level")
+
+
+QUERIES = {"p9_found": p9_found, "p9_levels": p9_levels, "p6_found": p6_found, "p6_mapping": p6_mapping}
 SQL: dict[str, str] = {}
