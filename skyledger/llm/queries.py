@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyledger.llm import mapping, reading
+from skyledger.llm import mapping, mixing, packing, reading
 from skyledger.session import read
 
 
@@ -31,6 +31,24 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     return p6_mapping(spark, sf).select("frame_id", "field", F.col("ref_id").cast("int").alias("ref_id")).distinct()
 
 
+def p7_packing(spark: SparkSession, sf: str) -> DataFrame:
+    """The container of every text, or of its pieces where it is larger than one."""
+    return packing.pack_texts(read(spark, sf, "documents"))
+
+
+def p7_fill(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.fill(p7_packing(spark, sf))
+
+
+def p8_selection(spark: SparkSession, sf: str) -> DataFrame:
+    """The texts chosen for each source, with their repetition."""
+    return mixing.mix(read(spark, sf, "documents"), read(spark, sf, "mix_targets"))[0]
+
+
+def p8_shares(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.mix(read(spark, sf, "documents"), read(spark, sf, "mix_targets"))[1]
+
+
 def p9_levels(spark: SparkSession, sf: str) -> DataFrame:
     """Surprisals, difficulty and reading level of every speech long enough to judge."""
     return reading.reading_levels(read(spark, sf, "documents"), read(spark, sf, "level_sample"))
@@ -40,5 +58,5 @@ def p9_found(spark: SparkSession, sf: str) -> DataFrame:
     return p9_levels(spark, sf).select("doc_id", "level")
 
 
-QUERIES = {"p9_found": p9_found, "p9_levels": p9_levels, "p6_found": p6_found, "p6_mapping": p6_mapping}
+QUERIES = {"p7_packing": p7_packing, "p7_fill": p7_fill, "p8_selection": p8_selection, "p8_shares": p8_shares, "p9_found": p9_found, "p9_levels": p9_levels, "p6_found": p6_found, "p6_mapping": p6_mapping}
 SQL: dict[str, str] = {}
