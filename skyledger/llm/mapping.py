@@ -28,6 +28,8 @@ ADDED = [
 ]
 
 TOKENS = "array<string>"
+#: Similarity from which a name needs no further check, and letters that may differ below it.
+LIKE, SLIPS = 0.75, 2
 
 
 def folded(text: Column) -> Column:
@@ -119,7 +121,9 @@ def map_designations(values: DataFrame, entries: DataFrame, threshold: float = 0
     values: value (distinct). entries: ref_id, label, is_name. A value that
     begins like a designation is compared with designations whose numbers
     agree; if none does, and for other values, with the names. A name is also
-    known by its words but the last, where that is no other entry's.
+    known by its words but the last, where that is no other entry's. A name
+    less similar than LIKE counts only if at most SLIPS letters differ or it
+    is the beginning of the entry's.
     """
     read = cut(_readings(values.filter(F.col("value").isNotNull()).distinct(), "value"))
     names = entries.filter("is_name").select("ref_id", folded(F.col("label")).alias("words"))
@@ -137,7 +141,11 @@ def map_designations(values: DataFrame, entries: DataFrame, threshold: float = 0
     left = left.filter((F.col("form") == 2) == (F.col("numbers") == "")).withColumn("id", F.concat_ws("|", "form", "numbers", "value"))
     left = cut(left)
     pairs = similarity_join(left, right, threshold).join(left.select("id", "value", "form"), "id").join(right.select("ref", "ref_id", "designated"), "ref")
-    return _best(pairs)
+    # a name shares letters with many; beyond a clear likeness it must be a slip of two letters or an abbreviation
+    told, meant = _letters(F.col("plain")), _letters(F.col("words"))
+    pairs = pairs.join(named.select("value", "plain"), "value").join(right.select("ref", "words"), "ref")
+    close = (F.col("sim") >= LIKE) | (F.levenshtein(told, meant) <= SLIPS) | meant.startswith(told)
+    return _best(pairs.filter(F.col("designated") | close))
 
 
 def map_labels(values: DataFrame, entries: DataFrame, threshold: float = 0.5) -> DataFrame:
