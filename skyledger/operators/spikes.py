@@ -22,7 +22,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyledger.operators.ordered import in_chunks, with_position
 from skyledger.session import cut
 
 
@@ -66,16 +65,17 @@ def _chart(v: np.ndarray, good: np.ndarray, scale: float, weight: float, clip: f
     return out
 
 
-def _residuals(limits: Limits):
+def _residuals(by_measure: dict[str, Limits]):
     def chart(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("pos", kind="stable")
+        # rows listed again are one reading; a copy with a time beats one without
+        rows = rows.sort_values(["item", "v", "at"], kind="stable").drop_duplicates(["item", "v"])
+        limits = by_measure[rows["measure"].iloc[0]]
         v = rows["v"].to_numpy(dtype=float)
         possible = rows["possible"].to_numpy(dtype=bool)
         runs = np.concatenate([[0], np.cumsum(v[1:] != v[:-1])])
         stuck = np.bincount(runs)[runs] >= limits.stuck
         at = rows["at"].ffill().to_numpy(dtype=float)
         breaks = np.concatenate([[False], np.nan_to_num(np.diff(at)) > limits.gap_seconds * 1e6])
-        session = np.cumsum(breaks)
         good = possible & ~stuck
         step = np.abs(np.diff(v[good]))
         step = step[step > 0]
@@ -93,37 +93,61 @@ def _residuals(limits: Limits):
             course = np.where(n > 0, np.where(known, both, 0).sum(axis=0) / np.maximum(n, 1), np.nan)
             off[part] = x - course
         own = rows["own"].to_numpy(dtype=bool)
-        out = pd.DataFrame({"source": rows["source"], "item": rows["item"], "v": v, "possible": possible, "stuck": stuck, "off": off, "session": session})
-        return out[own].drop(columns="session")
+        out = pd.DataFrame({"source": rows["source"], "measure": rows["measure"], "item": rows["item"], "v": v, "possible": possible, "stuck": stuck, "off": off})
+        return out[own]
 
     return chart
 
 
-def faults(readings: DataFrame, limits: Limits, level: str = "course", chunk_rows: int = 20_000) -> DataFrame:
-    """source, item, v, reason of every faulty reading.
+def chunked(readings: DataFrame, chunk_rows: int) -> DataFrame:
+    """Each reading in its chunk (`own` true) and, near a border, a copy in the chunk beside it.
 
-    readings: source, item (bigint, rising in record order), at (micros, may be
-    null: the reading belongs to the session of the one before), v (double).
-    Rows that agree count once; null and NaN readings are left out; of several
-    values for one item each is judged. level: 'course' (the neighbours in the
-    same session) or 'usual' (the source's median). reason is impossible,
-    stuck or spike, the first that holds. A session with one reading has no
+    A source of up to two chunks' rows stays whole. Longer ones are cut by
+    record number into chunks of about `chunk_rows`, with a sixteenth of a
+    chunk in common on either side.
+    """
+    spans = readings.groupBy("source").agg(F.count("*").alias("_n"), F.min("item").alias("_lo"), F.max("item").alias("_hi"))
+    width = F.when(F.col("_n") > 2 * chunk_rows, F.ceil((F.col("_hi") - F.col("_lo") + 1) * chunk_rows / F.col("_n"))).otherwise(F.col("_hi") - F.col("_lo") + 1)
+    cutup = readings.join(spans.select("source", F.col("_lo"), width.cast("bigint").alias("_w")), "source")
+    at, edge = F.col("item") - F.col("_lo"), F.ceil(F.col("_w") / 16)
+    here = F.floor(at / F.col("_w"))
+    near = F.when(F.pmod(at, F.col("_w")) < edge, here - 1).when(F.pmod(at, F.col("_w")) >= F.col("_w") - edge, here + 1)
+    chunks = F.array_compact(F.array(here, near))
+    out = cutup.withColumn("_here", here).withColumn("chunk", F.explode(chunks)).withColumn("own", F.col("chunk") == F.col("_here"))
+    return out.drop("_lo", "_w", "_here")
+
+
+def faults(readings: DataFrame, limits: dict[str, Limits], usual: tuple[str, ...] = (), chunk_rows: int = 20_000) -> DataFrame:
+    """measure, source, item, v, reason of every faulty reading.
+
+    readings: measure (a key of `limits`; others are left out), source, item
+    (bigint, rising in record order), at (micros, may be null: the reading
+    belongs to the session of the one before), v (double). Rows that agree
+    count once; null and NaN readings and rows without source or item are left
+    out; of several values for one item each is judged. A spike is judged
+    against the course of its neighbours in the session, for the measures
+    named in `usual` against the source's median. reason is impossible, stuck
+    or spike, the first that holds. A session with one reading has no
     neighbours, so no spike; a source whose scatter is 0 has a spike wherever
     a reading leaves the course.
     """
     v = F.col("v").cast("double")
-    low = v > limits.low if limits.low_open else v >= limits.low
-    slim = readings.select(F.col("source").cast("string"), F.col("item").cast("bigint"), F.col("at").cast("bigint"), v.alias("v")).filter(F.col("v").isNotNull() & ~F.isnan("v") & F.col("item").isNotNull())
-    slim = slim.distinct().withColumn("possible", low & (v <= limits.high))
-    chunks = in_chunks(with_position(slim, ["source"], "item", chunk_rows), chunk_rows)
-    charted = chunks.groupBy("source", "chunk").applyInPandas(_residuals(limits), "source string, item bigint, v double, possible boolean, stuck boolean, off double")
-    charted = cut(charted)
+    possible = F.lit(None).cast("boolean")
+    for name, x in limits.items():
+        possible = F.when(F.col("measure") == name, ((v > x.low) if x.low_open else (v >= x.low)) & (v <= x.high)).otherwise(possible)
+    slim = readings.filter(F.col("measure").isin(list(limits)) & F.col("source").isNotNull() & F.col("item").isNotNull() & F.col("v").isNotNull() & ~F.isnan(v))
+    slim = slim.select(F.concat_ws("|", "measure", "source").alias("source"), "measure", F.col("item").cast("bigint"), F.col("at").cast("bigint"), v.alias("v"), possible.alias("possible"))
+    charted = cut(chunked(slim, chunk_rows).groupBy("source", "chunk").applyInPandas(_residuals(limits), "source string, measure string, item bigint, v double, possible boolean, stuck boolean, off double"))
     good = F.col("possible") & ~F.col("stuck")
-    if level == "usual":
-        usual = charted.filter(good).groupBy("source").agg(F.percentile_approx("v", 0.5, 10_000).alias("usual"))
-        charted = charted.join(usual, "source", "left").withColumn("off", F.col("v") - F.col("usual")).drop("usual")
-    scatter = charted.filter(good & F.col("off").isNotNull() & ~F.isnan("off")).groupBy("source").agg((1.4826 * F.percentile_approx(F.abs("off"), 0.5, 10_000)).alias("scatter"))
+    if usual:
+        level = charted.filter(good & F.col("measure").isin(list(usual))).groupBy("source").agg(F.percentile_approx("v", 0.5, 10_000).alias("usual"))
+        charted = charted.join(level, "source", "left").withColumn("off", F.when(F.col("usual").isNotNull(), F.col("v") - F.col("usual")).otherwise(F.col("off"))).drop("usual")
+    scatter = charted.filter(good & ~F.isnan("off")).groupBy("source").agg((1.4826 * F.percentile_approx(F.abs("off"), 0.5, 10_000)).alias("scatter"))
+    times = F.lit(None).cast("double")
+    for name, x in limits.items():
+        times = F.when(F.col("measure") == name, F.lit(x.times)).otherwise(times)
     judged = charted.join(scatter, "source", "left")
-    spike = F.coalesce(~F.isnan("off") & (F.abs("off") > limits.times * F.col("scatter")), F.lit(False))
+    spike = F.coalesce(~F.isnan("off") & (F.abs("off") > times * F.col("scatter")), F.lit(False))
     reason = F.when(~F.col("possible"), "impossible").when(F.col("stuck"), "stuck").when(spike, "spike")
-    return judged.withColumn("reason", reason).filter(F.col("reason").isNotNull()).select("source", "item", "v", "reason")
+    judged = judged.withColumn("reason", reason).filter(F.col("reason").isNotNull())
+    return judged.select("measure", F.expr("substring(source, length(measure) + 2)").alias("source"), "item", "v", "reason")

@@ -5,9 +5,10 @@ where there are several, a Viterbi pass over the source's record order takes
 the cheapest path. Steps that switch the kind of reading, go back in time, or
 put two records of one item apart cost; long gaps cost a little.
 
-Scale: rows with one reading need no pass. Sequences are cut into blocks of
-bounded size by record number, so that a source with a third of all rows is
-many tasks; only blocks with an ambiguous row reach Python. Each such block
+Scale: rows with one reading need no pass. Sequences are cut into small blocks
+by record number, so that a source with a third of all rows is many tasks;
+only blocks with an ambiguous row reach Python, with the rows at the borders
+of the blocks beside them. Each such block
 gives the matrix of its cheapest costs between its first and last row; the
 blocks of a source are chained over these (one small row per block) and the
 inner paths are then found block by block. The result equals one Viterbi pass
@@ -18,7 +19,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skyledger.functions import timeparse
@@ -26,14 +27,15 @@ from skyledger.session import cut
 
 #: Costs of a step: another kind of reading, time running back, records of one item apart, per e-fold of hours.
 SWITCH, BACKWARD, APART, GAP = 1.0, 10.0, 20.0, 0.1
-BLOCK_ROWS = 20_000
+BLOCK_ROWS = 500
 
 
 def _step(a_item, a_micros, a_kinds, b_item, b_micros, b_kinds) -> np.ndarray:
     """Costs from every reading of one record to every reading of the next."""
     delta = (b_micros[None, :] - a_micros[:, None]) / 1e6
     # "local" and "local60" are one clock before and after a change: no switch
-    switch = np.array([[x.rstrip("0123456789") != y.rstrip("0123456789") for y in b_kinds] for x in a_kinds])
+    # and a record with one reading says nothing of the kind
+    switch = np.array([[bool(x and y) and x.rstrip("0123456789") != y.rstrip("0123456789") for y in b_kinds] for x in a_kinds])
     cost = SWITCH * switch + GAP * np.log1p(np.abs(delta) / 3600)
     if a_item == b_item:
         return cost + APART * (np.abs(delta) > 2)
@@ -110,58 +112,70 @@ def _path(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"seq": rows["seq"], "item": rows["item"], "part": rows["part"], "micros": micros})
 
 
-def choose_readings(df: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def choose_readings(df: DataFrame, block_rows: int = BLOCK_ROWS, unread: bool = False) -> DataFrame:
     """One instant per record: the readings on the cheapest path of each sequence.
 
     df: seq (any key), item (bigint, rising in record order), part (string,
-    several records of one item), readings (timeparse.READINGS). Rows that
-    agree in seq, item and part are taken once each with their own readings.
-    Rows without a reading are left out. Gives df's rows with `micros`.
+    several records of one item), readings (timeparse.READINGS), and any other
+    columns, which are kept. Rows that agree in seq, item and part are one
+    record listed again. Rows without a reading are left out, or with `unread`
+    kept with a null. Gives df's rows with `micros` instead of `readings`.
     """
+    n, own = F.size("readings"), [c for c in df.columns if c != "readings"]
     # read several times below, and a filter pushed into the parsing would repeat it
-    df = cut(df).filter(F.size("readings") > 0)
-    span = df.agg(F.count("*").alias("n"), F.min("item").alias("lo"), F.max("item").alias("hi")).first()
-    width = max(1, int((span["hi"] - span["lo"] + 1) * block_rows / span["n"])) if span["n"] else 1
-    keyed = df.withColumn("block", F.floor(F.col("item") / F.lit(width)))
+    slim = cut(df.select(*own, n.alias("n"), F.when(n == 1, F.try_element_at("readings", F.lit(1))["micros"]).alias("micros"), F.when(n > 1, F.col("readings")).alias("readings")))
+    settled_now = slim.filter((F.col("n") == 1) | (F.col("n") == 0) if unread else F.col("n") == 1).select(*own, "micros")
+    read = slim.filter("n > 0")
+    span = read.agg(F.count("*").alias("n"), F.min("item").alias("lo"), F.max("item").alias("hi"), F.max("n").alias("most")).first()
+    if not span["n"] or span["most"] == 1:
+        return settled_now
+    width = max(1, int((span["hi"] - span["lo"] + 1) * block_rows / span["n"]))
+    keyed = read.withColumn("block", F.floor(F.col("item") / F.lit(width)))
+    # only blocks with an open choice, and those next to them, matter to the path
+    order = Window.partitionBy("seq").orderBy("block")
+    marks = keyed.groupBy("seq", "block").agg(F.max(F.col("n") > 1).alias("open"))
+    beside = F.coalesce(F.lag("open").over(order), F.lit(False)) | F.coalesce(F.lead("open").over(order), F.lit(False))
+    marks = cut(marks.withColumn("beside", beside).filter(F.col("open") | F.col("beside")).select("seq", "block", "open"))
+    one = F.array(F.struct(F.lit("").alias("kind"), F.col("micros").alias("micros")))
+    near = keyed.join(marks, ["seq", "block"]).select("seq", "block", "open", "item", "part", F.coalesce("readings", one).alias("readings"))
+    near = cut(near.dropDuplicates(["seq", "block", "item", "part"]))
     row = F.struct("item", "part", "readings")
-    blocks = keyed.groupBy("seq", "block").agg(
-        F.min_by(row, F.struct("item", "part")).alias("first_row"),
-        F.max_by(row, F.struct("item", "part")).alias("last_row"),
-        F.max(F.size("readings") > 1).alias("open"),
-    )
-    sure = df.filter(F.size("readings") == 1).withColumn("micros", F.col("readings")[0]["micros"]).drop("readings")
-    # blocks are few; cut so that both passes see one version of them
-    blocks = cut(blocks)
-    unsure = blocks.filter("open").select("seq", "block")
-    needed = keyed.join(unsure, ["seq", "block"], "left_semi").select("seq", "block", "item", "part", "readings")
+    blocks = near.groupBy("seq", "block").agg(F.min_by(row, F.struct("item", "part")).alias("first_row"), F.max_by(row, F.struct("item", "part")).alias("last_row"))
+    needed = near.filter("open").drop("open")
     matrices = needed.groupBy("seq", "block").applyInPandas(_matrix, "seq string, block bigint, costs array<array<double>>")
-    chained = blocks.join(unsure.select("seq").distinct(), "seq", "left_semi").join(matrices, ["seq", "block"], "left")
-    ends = chained.groupBy("seq").applyInPandas(_chain, "seq string, block bigint, enter_at int, leave_at int")
+    ends = blocks.join(matrices, ["seq", "block"], "left").groupBy("seq").applyInPandas(_chain, "seq string, block bigint, enter_at int, leave_at int")
     paths = needed.join(ends, ["seq", "block"]).groupBy("seq", "block").applyInPandas(_path, "seq string, item bigint, part string, micros bigint")
-    settled = df.filter(F.size("readings") > 1).drop("readings").join(paths, ["seq", "item", "part"])
-    return sure.unionByName(settled)
+    settled = slim.filter("n > 1").select(*own).join(paths, ["seq", "item", "part"]).select(*own, "micros")
+    return settled_now.unionByName(settled)
+
+
+def read_times(df: DataFrame, rigs: DataFrame, block_rows: int = BLOCK_ROWS, unread: bool = False) -> DataFrame:
+    """df (rig, frame_id, part, date_obs and any other columns) with `micros` instead of `date_obs`; see frame_times."""
+    known = rigs.select("rig", "zone_name", "clock", "date_order").dropDuplicates(["rig"])
+    named = df.filter(F.col("rig").isNotNull() & F.col("frame_id").isNotNull()).join(known, "rig", "left")
+    named = named.withColumnsRenamed({"rig": "seq", "frame_id": "item"})
+    read = timeparse.with_time_readings(named, "date_obs", "zone_name", "clock", "date_order").drop("zone_name", "clock", "date_order", "date_obs")
+    return choose_readings(read, block_rows, unread).withColumnsRenamed({"seq": "rig", "item": "frame_id"})
 
 
 def frame_times(frames: DataFrame, subgrades: DataFrame, rigs: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Instants of `date_obs` of both tables: src, rig, frame_id, micros.
 
     Both tables write the times of the same frames, so they form one sequence
-    per rig. A value listed twice counts once; a rig missing in `rigs` is taken
+    per rig. A value listed twice counts once; rows without rig or frame_id
+    are left out; a rig missing in `rigs` is taken
     to keep UTC with either order of day and month. Null, empty or unreadable
     values give no row.
     """
-    one = lambda df, src: df.select(F.lit(src).alias("part"), "rig", F.col("frame_id").alias("item"), F.col("date_obs").alias("text"))
+    one = lambda df, src: df.select(F.lit(src).alias("part"), "rig", "frame_id", "date_obs").filter(F.col("date_obs").isNotNull())
     both = one(frames, "frames.date_obs").unionByName(one(subgrades, "subgrades.date_obs"))
-    known = rigs.select("rig", "zone_name", "clock", "date_order").dropDuplicates(["rig"])
-    named = both.filter(F.col("text").isNotNull()).distinct().join(known, "rig", "left")
-    read = timeparse.with_time_readings(named, "text", "zone_name", "clock", "date_order").select(F.col("rig").alias("seq"), "item", "part", "readings")
-    return choose_readings(read, block_rows).select(F.col("part").alias("src"), F.col("seq").alias("rig"), F.col("item").alias("frame_id"), "micros").distinct()
+    return read_times(both, rigs, block_rows).select(F.col("part").alias("src"), "rig", "frame_id", "micros").distinct()
 
 
 def frame_nights(frames: DataFrame, rigs: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Dates of `frames.night` that aren't written YYYY-MM-DD: src, rig, frame_id, micros of the midnight."""
     known = rigs.select("rig", "date_order").dropDuplicates(["rig"])
-    odd = frames.select("rig", F.col("frame_id").alias("item"), F.col("night").alias("text")).filter(F.col("text").isNotNull() & ~F.col("text").rlike(r"^\d{4}-\d{2}-\d{2}$")).distinct()
+    odd = frames.select("rig", F.col("frame_id").alias("item"), F.col("night").alias("text")).filter(F.col("text").isNotNull() & ~F.col("text").rlike(r"^\d{4}-\d{2}-\d{2}$"))
     read = timeparse.with_date_readings(odd.join(known, "rig", "left"), "text", "date_order").select(F.col("rig").alias("seq"), "item", F.lit("frames.night").alias("part"), "readings")
     return choose_readings(read, block_rows).select(F.col("part").alias("src"), F.col("seq").alias("rig"), F.col("item").alias("frame_id"), "micros").distinct()
 

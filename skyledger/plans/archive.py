@@ -55,24 +55,12 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
 
 def p3_faults(spark: SparkSession, sf: str) -> DataFrame:
     """Faulty readings of the three measured columns with value and reason."""
-    frames, subgrades, rigs = (read(spark, sf, t) for t in ("frames", "subgrades", "rigs"))
-    times = timestamps.frame_times(frames, subgrades, rigs)
-
-    def timed(df: DataFrame, src: str, value: str) -> DataFrame:
-        at = times.filter(F.col("src") == f"{src}.date_obs").select("rig", "frame_id", F.col("micros").alias("at"))
-        return df.select("rig", "frame_id", F.col(value).alias("v")).distinct().join(at, ["rig", "frame_id"], "left").select(F.col("rig").alias("source"), F.col("frame_id").alias("item"), "at", "v")
-
-    hfr = read(spark, sf, "thresholds").select(F.col("rig").alias("source"), F.col("group_id").alias("item"), F.lit(None).cast("bigint").alias("at"), F.col("hfr_max").alias("v"))
-    parts = [
-        ("frames", spikes.faults(timed(frames, "frames", "sensor_temp_c"), MEASURES["frames"])),
-        ("subgrades", spikes.faults(timed(subgrades, "subgrades", "badness"), MEASURES["subgrades"])),
-        ("thresholds", spikes.faults(hfr, MEASURES["thresholds"], level="usual")),
-    ]
-    out = None
-    for src, found in parts:
-        found = found.select(F.lit(src).alias("src"), F.col("source").alias("rig"), F.col("item").alias("row_id"), "v", "reason")
-        out = found if out is None else out.unionByName(found)
-    return out
+    columns = lambda table, value: read(spark, sf, table).select(F.lit(table).alias("part"), "rig", "frame_id", "date_obs", F.col(value).cast("double").alias("v"))
+    timed = timestamps.read_times(columns("frames", "sensor_temp_c").unionByName(columns("subgrades", "badness")), read(spark, sf, "rigs"), unread=True)
+    timed = timed.select(F.col("part").alias("measure"), F.col("rig").alias("source"), F.col("frame_id").alias("item"), F.col("micros").alias("at"), "v")
+    hfr = read(spark, sf, "thresholds").select(F.lit("thresholds").alias("measure"), F.col("rig").alias("source"), F.col("group_id").alias("item"), F.lit(None).cast("bigint").alias("at"), F.col("hfr_max").cast("double").alias("v"))
+    found = spikes.faults(timed.unionByName(hfr), MEASURES, usual=("thresholds",))
+    return found.select(F.col("measure").alias("src"), F.col("source").alias("rig"), F.col("item").alias("row_id"), "v", "reason")
 
 
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
