@@ -30,6 +30,8 @@ ADDED = [
 TOKENS = "array<string>"
 #: Similarity from which a name needs no further check, and letters that may differ below it.
 LIKE, SLIPS = 0.75, 2
+#: Slack of the filters, so that rounding drops no pair that reaches the threshold exactly.
+EPS = 1e-9
 
 
 def folded(text: Column) -> Column:
@@ -71,14 +73,14 @@ def similarity_join(left: DataFrame, right: DataFrame, threshold: float = 0.5) -
     rarity = exploded.groupBy("token").agg(F.count("*").alias("n"))
     ranked = exploded.join(rarity, "token").groupBy("side", "id", "numbers", "size").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("ranked"))
     ranked = cut(ranked.withColumn("tokens", F.col("ranked.token")).drop("ranked"))
-    keep = F.col("size") - F.ceil(F.lit(threshold) * F.col("size")) + 1
+    keep = F.col("size") - F.ceil(F.lit(threshold) * F.col("size") - EPS) + 1
     prefix = ranked.select("side", "id", "numbers", "size", F.posexplode(F.slice("tokens", F.lit(1), keep.cast("int"))).alias("at", "token"))
     x = prefix.filter("side = 0").select("id", "numbers", F.col("size").alias("nx"), F.col("at").alias("ax"), "token")
     y = prefix.filter("side = 1").select(F.col("id").alias("ref"), "numbers", F.col("size").alias("ny"), F.col("at").alias("ay"), "token")
     met = x.join(y, ["token", "numbers"])
-    fits = (F.col("ny") >= threshold * F.col("nx")) & (F.col("nx") >= threshold * F.col("ny"))
+    fits = (F.col("ny") + EPS >= threshold * F.col("nx")) & (F.col("nx") + EPS >= threshold * F.col("ny"))
     best = 1 + F.least(F.col("nx") - F.col("ax"), F.col("ny") - F.col("ay")) - 1
-    least = threshold / (1 + threshold) * (F.col("nx") + F.col("ny"))
+    least = threshold / (1 + threshold) * (F.col("nx") + F.col("ny")) - EPS
     # a pair's first common token is the one the positional bound holds for; later ones are dropped by the grouping
     pairs = met.filter(fits).groupBy("id", "ref").agg(F.max(best + F.least("ax", "ay")).alias("bound"), F.max(least).alias("least")).filter(F.col("bound") >= F.col("least")).select("id", "ref")
     lt = ranked.filter("side = 0").select("id", F.col("tokens").alias("tx"))

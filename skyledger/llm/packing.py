@@ -25,17 +25,17 @@ from skyledger.session import cut
 _PLACED = "shard bigint, doc_id bigint, piece int, first_token bigint, tokens bigint, slot bigint"
 
 
-def pack_sizes(sizes: np.ndarray, capacity: int, linear: float, quadratic: float) -> np.ndarray:
-    """The container of each item; no item may exceed `capacity`."""
+def _assign(sizes: np.ndarray, capacity: int, linear: float, quadratic: float, tight: bool) -> np.ndarray:
+    """Descending items to the container with room of lowest cost, or, if `tight`, of least room."""
     slots = np.full(len(sizes), -1, dtype=np.int64)
-    if not len(sizes):
-        return slots
     n = max(1, math.ceil(sizes.sum() / capacity))
     room, cost = np.full(n, capacity, dtype=np.int64), np.zeros(n)
     for i in np.argsort(-sizes, kind="stable"):
         fits = np.flatnonzero(room >= sizes[i])
+        # one opened beyond the least number is the last choice, or it would draw the small texts that fill the others
+        fits = fits[fits < n] if len(fits) and fits[0] < n else fits
         if len(fits):
-            k = fits[cost[fits].argmin()]
+            k = fits[(room if tight else cost)[fits].argmin()]
         else:
             k = len(room)
             room, cost = np.append(room, capacity), np.append(cost, 0.0)
@@ -45,6 +45,23 @@ def pack_sizes(sizes: np.ndarray, capacity: int, linear: float, quadratic: float
     return slots
 
 
+def pack_sizes(sizes: np.ndarray, capacity: int, linear: float, quadratic: float, most_lost: float = 0.01) -> np.ndarray:
+    """The container of each item; no item may exceed `capacity`.
+
+    Balanced by cost, unless that takes more than a share of `most_lost`
+    containers beyond the least number and the tightest fit takes fewer.
+    """
+    if not len(sizes):
+        return np.zeros(0, dtype=np.int64)
+    balanced = _assign(sizes, capacity, linear, quadratic, tight=False)
+    least = math.ceil(sizes.sum() / capacity)
+    if balanced.max() + 1 <= least * (1 + most_lost):
+        return balanced
+    tight = _assign(sizes, capacity, linear, quadratic, tight=True)
+    used = np.unique(tight, return_inverse=True)[1]
+    return used if used.max() < balanced.max() else balanced
+
+
 def _pack(capacity: int, linear: float, quadratic: float):
     def pack(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["tokens", "doc_id", "piece"], ascending=[False, True, True], kind="stable")
