@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from skyledger.functions import astro, filename
 from skyledger.operators import catalogue, folder, headers, pixels
 from skyledger.session import read
+from skyledger.streaming import frames as stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -399,3 +400,27 @@ def ref_stretch(spark, sf):
     shadows, midtones = pixels.stretch_parameters(F.col("median"), F.col("mad"))
     r = lambda c, n: F.round(c, 9).alias(n)
     return med.join(mad, "label").select("label", r(F.col("median"), "median"), r(F.col("mad"), "mad"), r(shadows, "shadows"), r(midtones, "midtones"))
+
+
+# ---- streams
+
+@query("""WITH e AS (SELECT ts, event_type, CAST(round(value * 1000) AS BIGINT) AS v, time_bucket(INTERVAL 1 DAY, ts, TIMESTAMP '1970-01-01 12:00:00') AS w FROM events)
+SELECT strftime(w, '%Y-%m-%d %H:%M:%S') AS night_start, event_type, count(*) AS n, CAST(sum(v) AS BIGINT) AS value_milli FROM e WHERE w + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events) GROUP BY 1, 2""")
+def ref_stream_nights(spark, sf):
+    return stream.drain(stream.night_windows(stream.source(spark, f"{sf}/events.parquet", "ts"), "ts", ["event_type"], "value"))
+
+
+@query("""WITH e AS (SELECT event_type, value, ts, unnest([time_bucket(INTERVAL 30 MINUTE, ts), time_bucket(INTERVAL 30 MINUTE, ts) - INTERVAL 30 MINUTE]) AS w FROM events)
+SELECT strftime(w, '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n, max(value) AS greatest FROM e WHERE w + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events) GROUP BY 1, 2""")
+def ref_stream_trend(spark, sf):
+    return stream.drain(stream.trend(stream.source(spark, f"{sf}/events.parquet", "ts"), "ts", ["event_type"], "value"))
+
+
+@query("SELECT DISTINCT frame_id, rig, path FROM frames")
+def ref_stream_listed_once(spark, sf):
+    return stream.drain(stream.listed_once(stream.source(spark, f"{sf}/frames.parquet", "scanned_at"), "scanned_at", ["frame_id"]).select("frame_id", "rig", "path"))
+
+
+@query("SELECT user_id, event_id AS item, first_value(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS scale FROM events")
+def ref_stream_locked_scale(spark, sf):
+    return stream.drain(stream.locked_scale(stream.source(spark, f"{sf}/events.parquet", "ts").select("user_id", "ts", "event_id", "value"), "user_id", ["ts", "event_id"], "value"))
