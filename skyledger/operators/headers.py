@@ -107,3 +107,20 @@ def scrub_plan(cards: DataFrame, keywords: list[str] = PRIVATE) -> DataFrame:
     blocks = lambda n: F.ceil((n + 1) * 80 / 2880)
     after = F.col("records") - F.col("removed") + 1
     return per.filter("removed > 0").select("frame_id", "records", "removed", "keywords", after.alias("records_after"), (blocks(F.col("records")) == blocks(after)).alias("in_place"))
+
+
+def edit_plan(cards: DataFrame, ops: DataFrame) -> DataFrame:
+    """frame_id, keyword, kind, before, after: what staged edits would change, file by file.
+
+    ops: place (order), op ('set', 'unset'), keyword, value. Of several edits
+    of one keyword the last counts. A set changes the first card of its
+    keyword, or adds one where the file has none; an unset removes every card.
+    Edits that change nothing are left out. ops are as few as a user stages.
+    """
+    last = ops.groupBy("keyword").agg(F.max_by(F.struct("op", "value"), "place").alias("x")).select("keyword", "x.op", "x.value")
+    files = cards.select("frame_id").distinct()
+    have = cards.filter(F.col("value_type") != "commentary").groupBy("frame_id", "keyword").agg(F.min_by("value_text", "record").alias("before"), F.count("*").alias("cards"))
+    want = files.crossJoin(F.broadcast(last))
+    met = want.join(have, ["frame_id", "keyword"], "left")
+    kind = F.when((F.col("op") == "unset") & F.col("cards").isNotNull(), "remove").when((F.col("op") == "set") & F.col("cards").isNull(), "add").when((F.col("op") == "set") & ~F.col("before").eqNullSafe(F.col("value")), "modify")
+    return met.withColumn("kind", kind).filter(F.col("kind").isNotNull()).select("frame_id", "keyword", "kind", "before", F.when(F.col("op") == "set", F.col("value")).alias("after"))

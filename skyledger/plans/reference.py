@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyledger.functions import astro, filename
-from skyledger.operators import catalogue, folder, headers, pixels
+from skyledger.operators import catalogue, classify, folder, headers, pixels
 from skyledger.session import read
 from skyledger.streaming import frames as stream
 
@@ -424,3 +424,35 @@ def ref_stream_listed_once(spark, sf):
 @query("SELECT user_id, event_id AS item, first_value(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS scale FROM events")
 def ref_stream_locked_scale(spark, sf):
     return stream.drain(stream.locked_scale(stream.source(spark, f"{sf}/events.parquet", "ts").select("user_id", "ts", "event_id", "value"), "user_id", ["ts", "event_id"], "value"))
+
+
+# ---- evidence and edits
+
+_KIND = lambda t: f"CASE WHEN regexp_matches({t}, 'darkflat|flatdark') THEN 'dark_flat' WHEN regexp_matches({t}, 'bias|offset|zero') THEN 'bias' WHEN regexp_matches({t}, 'dark') THEN 'dark' WHEN regexp_matches({t}, 'flat') THEN 'flat' WHEN regexp_matches({t}, 'light|object|science') THEN 'light' END"
+
+
+@query(rf"""WITH {_LISTED}, c AS (SELECT frame_id, min(value_text) AS ft FROM cards WHERE keyword IN ('IMAGETYP', 'FRAMETYP') GROUP BY 1),
+s AS (SELECT e.frame_id, e.object, e.exposure_s < 0.005 AS short, regexp_replace(lower(c.ft), '[-_ ]', '', 'g') AS k, regexp_replace(nullif(regexp_extract(lower({_STEM}), '^({'|'.join(filename.PREFIXES)})[_ -]', 1), ''), '[-_ ]', '', 'g') AS n FROM e JOIN c USING (frame_id)),
+v AS (SELECT *, {_KIND('k')} AS kk, {_KIND('n')} AS kn FROM s), t AS (SELECT *, kk IS NULL AND kn IS NULL AND NOT coalesce(short, false) AND object IS NOT NULL AS lone FROM v),
+z AS (SELECT frame_id, unnest([60, 25, 30, 20]) AS w, unnest([1, 2, 3, 4]) AS o, unnest(['header', 'name', 'exposure', 'object']) AS why, unnest([kk, kn, CASE WHEN short THEN 'bias' END, CASE WHEN lone THEN 'light' END]) AS kind FROM t),
+g AS (SELECT frame_id, kind, sum(w) AS w, min(o) AS o FROM z WHERE kind IS NOT NULL GROUP BY 1, 2), r AS (SELECT frame_id, list(kind ORDER BY w DESC, o) AS ks, list(w ORDER BY w DESC, o) AS ws FROM g GROUP BY 1),
+x AS (SELECT frame_id, string_agg(why || '=' || kind, ',' ORDER BY o) AS evidence FROM z WHERE kind IS NOT NULL GROUP BY 1)
+SELECT t.frame_id, coalesce(ks[1], 'unknown') AS kind, CAST(coalesce(ws[1], 0) - floor(coalesce(ws[2], 0) / 2) AS BIGINT) AS score, CASE WHEN ks IS NULL THEN 0 ELSE CAST(round(50 + 50 * tanh((ws[1] - floor(coalesce(ws[2], 0) / 2)) / 40.0::DOUBLE)) AS BIGINT) END AS confidence,
+ coalesce(evidence, '') AS evidence FROM t LEFT JOIN r USING (frame_id) LEFT JOIN x USING (frame_id)""")
+def ref_classify(spark, sf):
+    types = read(spark, sf, "cards").filter(F.col("keyword").isin("IMAGETYP", "FRAMETYP")).groupBy("frame_id").agg(F.min("value_text").alias("frame_type"))
+    return classify.classify(_frames(spark, sf).join(types, "frame_id"))
+
+
+_OPS = [(1, "set", "OBSERVER", "archive"), (2, "set", "BINX", "1"), (3, "unset", "SITELAT", None), (4, "unset", "SITELONG", None), (5, "set", "OBSERVER", "the archive"), (6, "set", "XBINNING", "1")]
+_OPS_SQL = "o(place, op, keyword, value) AS (VALUES " + ", ".join(f"({p}, '{o}', '{k}', {'NULL' if v is None else repr(v)})" for p, o, k, v in _OPS) + ")"
+
+
+@query(f"""WITH {_OPS_SQL}, l AS (SELECT keyword, arg_max(row(op, value), place) AS x FROM o GROUP BY 1), c AS (SELECT DISTINCT frame_id, hdu, record, keyword, value_type, value_text FROM cards), f AS (SELECT DISTINCT frame_id FROM c),
+h AS (SELECT frame_id, keyword, arg_min(value_text, row(hdu, record)) AS before, count(*) AS n FROM c WHERE value_type <> 'commentary' GROUP BY 1, 2),
+m AS (SELECT f.frame_id, l.keyword, l.x[1] AS op, l.x[2] AS value, h.before, h.n FROM f CROSS JOIN l LEFT JOIN h ON h.frame_id = f.frame_id AND h.keyword = l.keyword),
+k AS (SELECT *, CASE WHEN op = 'unset' AND n IS NOT NULL THEN 'remove' WHEN op = 'set' AND n IS NULL THEN 'add' WHEN op = 'set' AND before IS DISTINCT FROM value THEN 'modify' END AS kind FROM m)
+SELECT frame_id, keyword, kind, before, CASE WHEN op = 'set' THEN value END AS after FROM k WHERE kind IS NOT NULL""")
+def ref_edit_plan(spark, sf):
+    cards = read(spark, sf, "cards").select("frame_id", "hdu", "record", "keyword", "value_type", "value_text").distinct().withColumn("record", F.struct("hdu", "record"))
+    return headers.edit_plan(cards, spark.createDataFrame(_OPS, "place int, op string, keyword string, value string"))
