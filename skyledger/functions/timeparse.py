@@ -50,7 +50,7 @@ READINGS = "array<struct<kind:string,micros:bigint>>"
 
 def clean(text: Column) -> Column:
     """The text without outer blanks and quotes."""
-    return F.regexp_replace(text, r"^[\s '\"]+|[\s '\"]+$", "")
+    return F.regexp_replace(text, r"^[\s\u00a0'\"]+|[\s\u00a0'\"]+$", "")
 
 
 def _pieces(text: Column, families: list[tuple[str, str]]) -> Column:

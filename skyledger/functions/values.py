@@ -16,7 +16,7 @@ _UNIT = r"(?:\s+[A-Za-zµ%°\"'][A-Za-z0-9µ%°\"'/^²]*|%|°[CF]?|s|ms|sec|mm|c
 
 def bare(text: Column) -> Column:
     """The text without outer quotes and blanks."""
-    return F.regexp_replace(text, r"^[\s '\"]+|[\s '\"]+$", "")
+    return F.regexp_replace(text, r"^[\s\u00a0'\"]+|[\s\u00a0'\"]+$", "")
 
 
 def number(text: Column) -> Column:

@@ -123,14 +123,21 @@ def upper_median(df: DataFrame, keys: list[str], value: Column, name: str) -> Da
     return placed.filter(F.col("_upto") > F.floor(F.col("_all") / 2)).groupBy(*keys).agg(F.min("_v").alias(name))
 
 
+MEASURES = ("hfr", "stars", "background", "eccentricity")
+
+
 def grading_limits(subs: DataFrame, keys: list[str], k: float = 3.0) -> DataFrame:
-    """Per group the medians and the limits a sub is judged by: median and k robust scatters, within bounds of the median."""
-    out = subs.groupBy(*keys).agg(F.count("*").alias("subs"))
-    for name in ("hfr", "stars", "background", "eccentricity"):
-        v = F.col(name).cast("double")
-        middle = upper_median(subs, keys, v, f"median_{name}")
-        spread = upper_median(subs.join(middle, keys), keys, F.abs(v - F.col(f"median_{name}")), f"mad_{name}")
-        out = out.join(middle, keys, "left").join(spread, keys, "left")
+    """Per group the medians and the limits a sub is judged by: median and k robust scatters, within bounds of the median.
+
+    The four measures go through both medians together, as rows.
+    """
+    pairs = F.array(*[F.struct(F.lit(n).alias("measure"), F.col(n).cast("double").alias("v")) for n in MEASURES])
+    long = subs.select(*keys, F.explode(pairs).alias("p")).select(*keys, "p.measure", "p.v").filter(F.col("v").isNotNull())
+    middle = upper_median(long, [*keys, "measure"], F.col("v"), "median")
+    spread = upper_median(long.join(middle, [*keys, "measure"]), [*keys, "measure"], F.abs(F.col("v") - F.col("median")), "mad")
+    of = lambda n, c: F.max(F.when(F.col("measure") == n, F.col(c)))
+    wide = middle.join(spread, [*keys, "measure"]).groupBy(*keys).agg(*[of(n, c).alias(f"{c}_{n}") for n in MEASURES for c in ("median", "mad")])
+    out = subs.groupBy(*keys).agg(F.count("*").alias("subs")).join(wide, keys, "left")
     m = lambda n: F.col(f"median_{n}")
     s = lambda n: 1.4826 * F.col(f"mad_{n}")
     return out.select(
@@ -217,3 +224,35 @@ def match_darks(groups: DataFrame, sets: DataFrame) -> DataFrame:
     scored = groups.join(darks, ["camera", "size", "binning"]).withColumns({"score": F.round(F.coalesce(apart, F.lit(0.0)) + 1000 * hard + 10 * soft + 0.5, 4), "status": F.when(hard > 0, "bad").when(soft > 0, "warn").otherwise("ok")})
     keys = ["camera", "gain", "offset_adu", "ms", "binning", "size"]
     return scored.groupBy(*keys, "subs").agg(F.min_by(F.struct("first_frame", "score", "status"), F.struct("score", "first_frame")).alias("x")).select(*keys, "subs", F.col("x.first_frame").alias("dark_frame"), "x.score", "x.status")
+
+
+def match_flats(sets: DataFrame, nights: DataFrame) -> DataFrame:
+    """The best flat set of each light group and filter: those of its camera, size, binning and filter.
+
+    nights: keys of the groups with filter_name and the nights of their lights
+    (one row each). Score: 10 for each soft difference (gain, offset, a night
+    that is no light night), a half for not being a master; the first set wins
+    ties. A group without nights isn't held against any.
+    """
+    keys = ["camera", "gain", "offset_adu", "ms", "binning", "size", "filter_name"]
+    flats = sets.filter(F.col("frame") == "flat").select("camera", "size", "binning", F.lower("filter_name").alias("f"), F.col("gain").alias("d_gain"), F.col("offset_adu").alias("d_offset"), F.col("night").alias("d_night"), "first_frame")
+    missing = F.lit(-(2**62))
+    differs = lambda a, b: ((F.col(a) != missing) & (F.col(b) != missing) & (F.col(a) != F.col(b))).cast("int")
+    wanted = nights.groupBy(*keys).agg(F.count("night").alias("n_nights"), F.count_if(F.lit(True)).alias("subs")).withColumn("f", F.lower("filter_name"))
+    pairs = wanted.join(flats, ["camera", "size", "binning", "f"])
+    shared = nights.filter(F.col("night").isNotNull()).select(*keys, F.col("night").alias("d_night")).distinct().withColumn("on_night", F.lit(True))
+    met = pairs.join(shared, [*keys, "d_night"], "left")
+    other = ((F.col("d_night") != "") & (F.col("n_nights") > 0) & F.col("on_night").isNull()).cast("int")
+    score = 10 * (differs("gain", "d_gain") + differs("offset_adu", "d_offset") + other) + 0.5
+    scored = met.withColumn("score", score)
+    return scored.groupBy(*keys, "subs").agg(F.min_by(F.struct("first_frame", "score"), F.struct("score", "first_frame")).alias("x")).select(*keys, "subs", F.col("x.first_frame").alias("flat_frame"), "x.score")
+
+
+def light_nights(frames: DataFrame) -> DataFrame:
+    """Each light sub's calibration keys with filter and night."""
+    missing = -(2**62)
+    r = lambda c: F.coalesce(c, F.lit(missing))
+    return frames.filter(is_light()).select(
+        F.coalesce("camera", F.lit("")).alias("camera"), r(F.round("gain").cast("bigint")).alias("gain"), r(F.round("offset_adu").cast("bigint")).alias("offset_adu"), r(milliseconds("exposure_s")).alias("ms"),
+        F.coalesce("binning", F.lit(1)).alias("binning"), F.coalesce(F.array_join("size", "x"), F.lit("")).alias("size"), F.coalesce("filter_name", F.lit("")).alias("filter_name"), "night",
+    )

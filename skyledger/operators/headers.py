@@ -118,9 +118,9 @@ def edit_plan(cards: DataFrame, ops: DataFrame) -> DataFrame:
     Edits that change nothing are left out. ops are as few as a user stages.
     """
     last = ops.groupBy("keyword").agg(F.max_by(F.struct("op", "value"), "place").alias("x")).select("keyword", "x.op", "x.value")
-    files = cards.select("frame_id").distinct()
+    staged = F.array(*[F.struct(F.lit(r["keyword"]).alias("keyword"), F.lit(r["op"]).alias("op"), F.lit(r["value"]).cast("string").alias("value")) for r in last.collect()])
     have = cards.filter(F.col("value_type") != "commentary").groupBy("frame_id", "keyword").agg(F.min_by("value_text", "record").alias("before"), F.count("*").alias("cards"))
-    want = files.crossJoin(F.broadcast(last))
+    want = cards.select("frame_id").distinct().select("frame_id", F.explode(staged).alias("s")).select("frame_id", "s.*")
     met = want.join(have, ["frame_id", "keyword"], "left")
     kind = F.when((F.col("op") == "unset") & F.col("cards").isNotNull(), "remove").when((F.col("op") == "set") & F.col("cards").isNull(), "add").when((F.col("op") == "set") & ~F.col("before").eqNullSafe(F.col("value")), "modify")
     return met.withColumn("kind", kind).filter(F.col("kind").isNotNull()).select("frame_id", "keyword", "kind", "before", F.when(F.col("op") == "set", F.col("value")).alias("after"))

@@ -38,3 +38,16 @@ def stretch_parameters(median: Column, mad: Column) -> tuple[Column, Column]:
     """Shadows and midtones of the automatic stretch: 2.8 scatters below the median are black, the median becomes a quarter."""
     shadows = F.least(F.greatest(median - 2.8 * 1.4826 * mad, F.lit(0.0)), F.lit(1.0))
     return shadows, midtones(median - shadows, F.lit(0.25))
+
+
+def binned(planes: DataFrame, key: str, data: str, width: int, factor: int = 2) -> DataFrame:
+    """key, y, x, value: each block of factor x factor pixels averaged; a rest at the edges is dropped."""
+    px = planes.select(key, F.posexplode(data).alias("at", "value"))
+    placed = px.select(key, F.floor(F.floor(F.col("at") / width) / factor).alias("y"), F.floor(F.col("at") % width / factor).alias("x"), F.col("value").cast("double").alias("value"))
+    return placed.filter(F.col("x") < width // factor).groupBy(key, "y", "x").agg(F.avg("value").alias("value"), F.count("*").alias("n")).filter(F.col("n") == factor * factor).drop("n")
+
+
+def rotated(planes: DataFrame, key: str, data: str, width: int, height: int) -> DataFrame:
+    """key, data: the plane a quarter turned clockwise, by index alone."""
+    turned = F.transform(F.sequence(F.lit(0), F.lit(width * height - 1)), lambda i: F.element_at(F.col(data), ((height - 1 - i % height) * width + F.floor(i / height) + 1).cast("int")))
+    return planes.select(key, turned.alias(data))

@@ -456,3 +456,57 @@ SELECT frame_id, keyword, kind, before, CASE WHEN op = 'set' THEN value END AS a
 def ref_edit_plan(spark, sf):
     cards = read(spark, sf, "cards").select("frame_id", "hdu", "record", "keyword", "value_type", "value_text").distinct().withColumn("record", F.struct("hdu", "record"))
     return headers.edit_plan(cards, spark.createDataFrame(_OPS, "place int, op string, keyword string, value string"))
+
+
+@query(f"""WITH {_OPS_SQL}, l AS (SELECT keyword, arg_max(row(op, value), place) AS x FROM o GROUP BY 1), c AS (SELECT DISTINCT frame_id, hdu, record, keyword, value_type, value_text FROM cards), f AS (SELECT DISTINCT frame_id FROM c),
+h AS (SELECT frame_id, keyword, arg_min(value_text, row(hdu, record)) AS before, count(*) AS n FROM c WHERE value_type <> 'commentary' GROUP BY 1, 2),
+m AS (SELECT f.frame_id, l.keyword, l.x[1] AS op, l.x[2] AS value, h.before, h.n FROM f CROSS JOIN l LEFT JOIN h ON h.frame_id = f.frame_id AND h.keyword = l.keyword),
+k AS (SELECT *, CASE WHEN op = 'unset' AND n IS NOT NULL THEN 'remove' WHEN op = 'set' AND n IS NULL THEN 'add' WHEN op = 'set' AND before IS DISTINCT FROM value THEN 'modify' END AS kind FROM m)
+SELECT keyword, kind, count(*) AS files FROM k WHERE kind IS NOT NULL GROUP BY 1, 2""")
+def ref_batch_totals(spark, sf):
+    return ref_edit_plan(spark, sf).groupBy("keyword", "kind").agg(F.count("*").alias("files"))
+
+
+@query("""WITH p AS (SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS i, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings)
+SELECT vec_id, CAST(floor(floor(i / 8) / 2) AS BIGINT) AS y, CAST(floor((i % 8) / 2) AS BIGINT) AS x, round(avg(v), 9) AS value FROM p GROUP BY 1, 2, 3""")
+def ref_pixel_bin(spark, sf):
+    """Embeddings as planes of 8 x 8, binned by two."""
+    return pixels.binned(read(spark, sf, "embeddings"), "vec_id", "embedding", 8).withColumn("value", F.round("value", 9))
+
+
+@query("""WITH p AS (SELECT vec_id, embedding, unnest(range(64)) AS i FROM embeddings) SELECT vec_id, i AS "at", CAST(embedding[CAST((7 - i % 8) * 8 + floor(i / 8) + 1 AS BIGINT)] AS DOUBLE) AS value FROM p""")
+def ref_pixel_rotate(spark, sf):
+    turned = pixels.rotated(read(spark, sf, "embeddings"), "vec_id", "embedding", 8, 8)
+    return turned.select("vec_id", F.posexplode("embedding").alias("at", "v")).select("vec_id", F.col("at").cast("bigint").alias("at"), F.col("v").cast("double").alias("value"))
+
+
+@query(f"""WITH {_SETS}, n AS (SELECT coalesce(camera, '') AS camera, {_R('gain')} AS gain, {_R('offset_adu')} AS offset_adu, {_R('exposure_s', 1000)} AS ms, coalesce(binning, 1) AS binning, coalesce(array_to_string(size, 'x'), '') AS size, coalesce(filter_name, '') AS filter_name, night
+ FROM e WHERE frame = 'light' AND NOT integrated), w AS (SELECT camera, gain, offset_adu, ms, binning, size, filter_name, count(night) AS nn, count(*) AS subs, list(DISTINCT night) FILTER (night IS NOT NULL) AS ns FROM n GROUP BY ALL),
+z AS (SELECT w.*, s.first_frame, CAST(10 * (CAST(w.gain <> {_MISSING} AND s.gain <> {_MISSING} AND w.gain <> s.gain AS INT) + CAST(w.offset_adu <> {_MISSING} AND s.offset_adu <> {_MISSING} AND w.offset_adu <> s.offset_adu AS INT)
+ + CAST(s.night <> '' AND nn > 0 AND NOT list_contains(ns, s.night) AS INT)) + 0.5 AS DOUBLE) AS score FROM w JOIN sets s ON s.frame = 'flat' AND s.camera = w.camera AND s.size = w.size AND s.binning = w.binning AND lower(s.filter_name) = lower(w.filter_name))
+SELECT camera, gain, offset_adu, ms, binning, size, filter_name, subs, first_frame AS flat_frame, score FROM (SELECT *, row_number() OVER (PARTITION BY camera, gain, offset_adu, ms, binning, size, filter_name ORDER BY score, first_frame) AS r FROM z) WHERE r = 1""")
+def ref_match_flats(spark, sf):
+    frames = _frames(spark, sf)
+    return folder.match_flats(folder.calibration_sets(frames), folder.light_nights(frames)).withColumn("score", F.col("score").cast("double"))
+
+
+@query(f"""WITH {_GRADED}, a AS (SELECT coalesce(night, '(unknown)') AS night, coalesce(filter_name, '') AS filter_name, ms, count(*) AS number FROM g WHERE NOT rejected GROUP BY ALL)
+SELECT night, concat_ws(',', night, replace(filter_name, ',', ' '), CAST(number AS VARCHAR), coalesce(CAST(ms AS VARCHAR), '')) AS line FROM a""")
+def ref_acquisition_csv(spark, sf):
+    """The acquisition table as CSV lines; commas in names become blanks."""
+    a = folder.acquisition(_frames(spark, sf), read(spark, sf, "subgrades"))
+    return a.select("night", F.concat_ws(",", "night", F.replace(F.col("filter_name"), F.lit(","), F.lit(" ")), F.col("number").cast("string"), F.coalesce(F.col("ms").cast("string"), F.lit(""))).alias("line"))
+
+
+@query("""WITH d AS (SELECT DISTINCT rig, round(sum(exposure_s) OVER (PARTITION BY rig)) AS s FROM (SELECT DISTINCT ON (frame_id) rig, coalesce(exposure_s, 0) AS exposure_s FROM subgrades))
+SELECT rig, CASE WHEN s < 60 THEN CAST(CAST(s AS BIGINT) AS VARCHAR) || 's' WHEN s < 3600 THEN CAST(CAST(floor(s / 60) AS BIGINT) AS VARCHAR) || 'm' ELSE CAST(CAST(floor(s / 3600) AS BIGINT) AS VARCHAR) || 'h' || lpad(CAST(CAST(floor((s % 3600) / 60) AS BIGINT) AS VARCHAR), 2, '0') || 'm' END AS captured FROM d""")
+def ref_captured_text(spark, sf):
+    s = read(spark, sf, "subgrades").dropDuplicates(["frame_id"]).groupBy("rig").agg(F.sum(F.coalesce("exposure_s", F.lit(0.0))).alias("s"))
+    return s.select("rig", filename.compact_duration(F.col("s")).alias("captured"))
+
+
+@query(r"""SELECT regexp_replace(regexp_replace(keyword, '^([A-Z]+)[0-9]+_[0-9]+$', '\1i_j'), '^([A-Z]+)[0-9]+$', '\1n') AS pattern, count(*) AS cards, count(DISTINCT keyword) AS keywords FROM (SELECT DISTINCT frame_id, hdu, record, keyword FROM cards) GROUP BY 1""")
+def ref_keyword_patterns(spark, sf):
+    """Indexed keywords under one pattern: NAXIS2 is NAXISn, CD1_2 is CDi_j."""
+    pattern = F.regexp_replace(F.regexp_replace("keyword", r"^([A-Z]+)[0-9]+_[0-9]+$", "$1i_j"), r"^([A-Z]+)[0-9]+$", "$1n")
+    return read(spark, sf, "cards").select("frame_id", "hdu", "record", "keyword").distinct().groupBy(pattern.alias("pattern")).agg(F.count("*").alias("cards"), F.countDistinct("keyword").alias("keywords"))
