@@ -70,11 +70,10 @@ def speeches(documents: DataFrame, least_words: int = 60) -> DataFrame:
     return kept.filter(F.col("n") >= least_words).drop("n")
 
 
-def pair_counts(spoken: DataFrame) -> DataFrame:
-    """doc_id, lang, h, w, n: how often a word follows another in a document."""
+def pairs_of(spoken: DataFrame, *keep: str) -> DataFrame:
+    """A row per word of each document with the word before it: the kept columns, h, w."""
     pairs = F.explode(F.transform(F.sequence(F.lit(1), F.size("words") - 1), lambda i: F.struct(F.element_at("words", i).alias("h"), F.element_at("words", i + 1).alias("w"))))
-    some = spoken.filter(F.size("words") > 1).select("doc_id", "lang", pairs.alias("p"))
-    return some.groupBy("doc_id", "lang", "p.h", "p.w").agg(F.count("*").alias("n"))
+    return spoken.filter(F.size("words") > 1).select(*keep, pairs.alias("p")).select(*keep, "p.h", "p.w")
 
 
 def _by_level(n: str, name: str) -> list[Column]:
@@ -122,16 +121,17 @@ def reading_levels(documents: DataFrame, rated: DataFrame, least_words: int = 60
     null are left out; a document rated twice counts with each rating.
     """
     spoken = speeches(documents, least_words)
-    pairs = cut(pair_counts(spoken))
-    known = pairs.filter(F.col("lang").isNotNull())
+    named, nameless = spoken.filter(F.col("lang").isNotNull()), spoken.filter(F.col("lang").isNull())
+    # how often each pair occurs in each language: few rows, whatever the number of documents
+    totals = cut(pairs_of(named, "lang").groupBy("lang", "h", "w").agg(F.count("*").alias("n")))
     marks = rated.filter(F.col("level").isin(*LEVELS)).select("doc_id", F.col("level").cast("int")).distinct()
-    taught = cut(known.join(marks, "doc_id"))
+    taught = cut(pairs_of(named.join(marks, "doc_id"), "doc_id", "level", "lang").groupBy("doc_id", "level", "lang", "h", "w").agg(F.count("*").alias("n")))
 
     hw = taught.groupBy("lang", "h", "w").agg(*_by_level("n", "hw"))
     h = taught.groupBy("lang", "h").agg(*_by_level("n", "h"))
     u = taught.groupBy("lang", "w").agg(*_by_level("n", "u"))
     t = taught.groupBy("lang").agg(*_by_level("n", "t"))
-    bg = known.groupBy("lang", "w").agg(F.sum("n").alias("bg"))
+    bg = totals.groupBy("lang", "w").agg(F.sum("n").alias("bg"))
     bg_t = bg.groupBy("lang").agg(F.sum("bg").alias("bg_t"), F.count("*").alias("bg_v"))
 
     def with_counts(df: DataFrame) -> DataFrame:
@@ -144,13 +144,12 @@ def reading_levels(documents: DataFrame, rated: DataFrame, least_words: int = 60
         weights = [F.exp(-SHARPNESS * (F.col(f"surprisal_{k}") - least)) for k in LEVELS]
         return sums.withColumn("difficulty", sum(k * w for k, w in zip(LEVELS, weights)) / sum(weights[1:], weights[0])).withColumn("least", least)
 
-    # every distinct pair once; a document without a language is tried in each
-    langs = bg_t.select("lang")
-    nameless = pairs.filter(F.col("lang").isNull()).drop("lang").crossJoin(F.broadcast(langs))
-    all_pairs = known.unionByName(nameless)
-    chances = with_counts(all_pairs.select("lang", "h", "w").distinct()).withColumn("level", F.lit(0))
-    chances = chances.select("lang", "h", "w", *[_surprisal(k, False).alias(f"s{k}") for k in LEVELS])
-    judged = scored(all_pairs.join(chances, ["lang", "h", "w"]), ["doc_id", "lang"])
+    # every distinct pair once; a document without a language is tried in each, of which there are few
+    langs = [r["lang"] for r in bg_t.select("lang").collect()]
+    nameless = nameless.drop("lang").withColumn("lang", F.explode(F.array(*map(F.lit, langs)) if langs else F.array().cast("array<string>")))
+    tried = totals.select("lang", "h", "w").unionByName(pairs_of(nameless, "lang")).distinct()
+    chances = with_counts(tried).withColumn("level", F.lit(0)).select("lang", "h", "w", *[_surprisal(k, False).alias(f"s{k}") for k in LEVELS])
+    judged = scored(pairs_of(named.unionByName(nameless), "doc_id", "lang").join(chances, ["lang", "h", "w"]).withColumn("n", F.lit(1)), ["doc_id", "lang"])
     best = judged.groupBy("doc_id").agg(F.min_by(F.struct(*judged.columns), F.struct("least", "lang")).alias("x")).select("x.*")
 
     def own(key: list[str], name: str) -> DataFrame:
