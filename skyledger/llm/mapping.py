@@ -39,7 +39,7 @@ def folded(text: Column) -> Column:
     out = F.translate(F.replace(F.lower(text), F.lit("ß"), F.lit("ss")), ACCENTED, PLAIN)
     for pattern in ADDED:
         out = F.regexp_replace(out, pattern, " ")
-    return F.trim(F.regexp_replace(out, r"[\s ]+", " "))
+    return F.trim(F.regexp_replace(out, r"[\s\u00a0]+", " "))
 
 
 def _letters(text: Column) -> Column:
