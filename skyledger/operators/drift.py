@@ -28,17 +28,20 @@ from skyledger.session import cut
 UNDEFINED = "undefined"
 
 
-def header_fields(hdus: DataFrame, hdu: int | None = 0) -> DataFrame:
-    """source, batch, file, path, type, text, note of each header card; headers listed twice count once.
+FIELDS = "array<struct<path:string,type:string,text:string,note:string>>"
 
-    Commentary cards and cards without a keyword are no fields.
+
+def header_files(hdus: DataFrame, hdu: int | None = 0) -> DataFrame:
+    """source, batch, file, fields of each file; headers listed twice count once.
+
+    fields are the path, type, text and note of every card; commentary cards
+    and cards without a keyword are none.
     """
     kept = hdus if hdu is None else hdus.filter(F.col("hdu") == hdu)
-    once = kept.dropDuplicates(["rig", "batch_no", "frame_id", "hdu"])
-    c = F.explode("cards").alias("c")
-    out = once.select(F.col("rig").alias("source"), F.col("batch_no").alias("batch"), F.col("frame_id").cast("string").alias("file"), c)
-    out = out.select("source", "batch", "file", F.col("c.keyword").alias("path"), F.col("c.value_type").alias("type"), F.col("c.value_text").alias("text"), F.col("c.note").alias("note"))
-    return out.filter(F.col("path").isNotNull() & (F.coalesce("type", F.lit("")) != "commentary"))
+    cards = F.filter("cards", lambda c: c["keyword"].isNotNull() & (F.coalesce(c["value_type"], F.lit("")) != "commentary"))
+    fields = F.transform(cards, lambda c: F.struct(c["keyword"].alias("path"), c["value_type"].alias("type"), c["value_text"].alias("text"), c["note"].alias("note")))
+    slim = kept.select(F.col("rig").alias("source"), F.col("batch_no").alias("batch"), F.col("frame_id").cast("string").alias("file"), fields.alias("fields"))
+    return slim.groupBy("source", "batch", "file").agg(F.flatten(F.collect_set("fields")).alias("fields"))
 
 
 def _leaves(node: object, path: str, out: list) -> None:
@@ -71,10 +74,11 @@ def json_leaves(text: Column) -> Column:
     return F.pandas_udf(_json_leaves, "array<struct<path:string,type:string,text:string>>")(text)
 
 
-def json_fields(rules: DataFrame, source: str, batch: str, file: str, text: str) -> DataFrame:
-    """As header_fields, of a column of JSON objects; its files are known by `file`."""
-    out = rules.select(F.lit(source).alias("source"), F.col(batch).alias("batch"), F.col(file).alias("file"), F.explode(json_leaves(F.col(text))).alias("c"))
-    return out.select("source", "batch", "file", F.col("c.path").alias("path"), F.col("c.type").alias("type"), F.col("c.text").alias("text"), F.lit(None).cast("string").alias("note")).distinct()
+def json_files(rules: DataFrame, source: str, batch: str, file: str, text: str) -> DataFrame:
+    """As header_files, of a column of JSON objects; its files are known by `file`."""
+    slim = rules.select(F.lit(source).alias("source"), F.col(batch).alias("batch"), F.col(file).alias("file"), json_leaves(F.col(text)).alias("leaves"))
+    fields = F.transform("leaves", lambda c: F.struct(c["path"].alias("path"), c["type"].alias("type"), c["text"].alias("text"), F.lit(None).cast("string").alias("note")))
+    return slim.groupBy("source", "batch", "file").agg(F.flatten(F.collect_set(fields)).alias("fields"))
 
 
 def plain_note(note: Column) -> Column:
@@ -86,27 +90,30 @@ def _plain_text(text: Column) -> Column:
     return F.coalesce(values.number(text).cast("string"), values.folded(text))
 
 
-def alternatives(fields: DataFrame) -> DataFrame:
-    """The tagged union: source, batch, path, type, files. `type` is null for values that are only undefined."""
-    kind = F.when(F.col("type") != UNDEFINED, F.col("type"))
-    per_file = fields.groupBy("source", "batch", "path", "file").agg(F.array_compact(F.collect_set(kind)).alias("types"), F.max(F.lit(1)).alias("one"))
-    return per_file.select("source", "batch", "path", F.explode_outer("types").alias("type")).groupBy("source", "batch", "path", "type").agg(F.count("*").alias("files"))
+def alternatives(files: DataFrame) -> DataFrame:
+    """The tagged union: source, batch, path, type, files.
+
+    The row with type '*' counts the files that carry the path at all; a path
+    that is undefined in a file gives that file no other row.
+    """
+    kinds = F.transform(F.filter("fields", lambda f: f["type"].isNotNull() & (f["type"] != UNDEFINED)), lambda f: F.struct(f["path"].alias("path"), f["type"].alias("type")))
+    paths = F.transform("fields", lambda f: F.struct(f["path"].alias("path"), F.lit("*").alias("type")))
+    once = files.select("source", "batch", F.explode(F.array_union(kinds, paths)).alias("f"))
+    return once.groupBy("source", "batch", "f.path", "f.type").agg(F.count("*").alias("files"))
 
 
-def schemas(fields: DataFrame, least_share: float = 0.25) -> DataFrame:
+def schemas(files: DataFrame, least_share: float = 0.25) -> DataFrame:
     """source, batch, path, type, files, of, of every path that at least `least_share` of a batch's files carry.
 
     `type` is the one most of these files carry, undefined values aside (ties:
     the first by name); null where all are undefined.
     """
-    kind = F.when(F.col("type") != UNDEFINED, F.col("type"))
-    once = fields.groupBy("source", "batch", "file", "path", kind.alias("type")).agg(F.lit(1).alias("one"))
-    typed = once.groupBy("source", "batch", "path", "type").agg(F.count("*").alias("n"))
-    carried = fields.groupBy("source", "batch", "path", "file").agg(F.lit(1).alias("one")).groupBy("source", "batch", "path").agg(F.count("*").alias("files"))
-    of = fields.groupBy("source", "batch", "file").agg(F.lit(1).alias("one")).groupBy("source", "batch").agg(F.count("*").alias("of"))
-    best = typed.filter(F.col("type").isNotNull()).groupBy("source", "batch", "path").agg(F.min_by("type", F.struct(-F.col("n"), F.col("type"))).alias("type"))
-    found = carried.join(of, ["source", "batch"]).filter(F.col("files") >= least_share * F.col("of"))
-    return found.join(best, ["source", "batch", "path"], "left").select("source", "batch", "path", "type", "files", "of")
+    typed = F.col("type") != "*"
+    tally = alternatives(files).groupBy("source", "batch", "path").agg(
+        F.max(F.when(~typed, F.col("files"))).alias("files"), F.min_by(F.when(typed, F.col("type")), F.when(typed, F.struct(-F.col("files"), F.col("type")))).alias("type"),
+    )
+    of = files.groupBy("source", "batch").agg(F.count("*").alias("of"))
+    return tally.join(of, ["source", "batch"]).filter(F.col("files") >= least_share * F.col("of")).select("source", "batch", "path", "type", "files", "of")
 
 
 def _assign(pairs: pd.DataFrame) -> pd.DataFrame:
@@ -119,7 +126,7 @@ def _assign(pairs: pd.DataFrame) -> pd.DataFrame:
     return pairs.loc[kept, ["source", "batch", "old", "new"]]
 
 
-def changes(fields: DataFrame, meaning: DataFrame | None = None, least_share: float = 0.25, least_overlap: float = 0.5) -> DataFrame:
+def changes(files: DataFrame, meaning: DataFrame | None = None, least_share: float = 0.25, least_overlap: float = 0.5) -> DataFrame:
     """source, batch, path, change, new_path against the source's previous batch.
 
     change: added, removed, retyped, or renamed (then new_path is the new name,
@@ -129,7 +136,8 @@ def changes(fields: DataFrame, meaning: DataFrame | None = None, least_share: fl
     shared; not if comments or meanings contradict. The first batch has no
     changes; an empty table has none.
     """
-    present = cut(schemas(fields, least_share))
+    files = cut(files)
+    present = cut(schemas(files, least_share))
     order = Window.partitionBy("source").orderBy("batch")
     batches = present.select("source", "batch").distinct().withColumn("before", F.lag("batch").over(order)).filter(F.col("before").isNotNull())
     old = present.select("source", F.col("batch").alias("before"), "path", F.col("type").alias("old_type")).join(batches, ["source", "before"])
@@ -140,9 +148,10 @@ def changes(fields: DataFrame, meaning: DataFrame | None = None, least_share: fl
 
     # what the paths that leave or come carried, in the batch before or in this one
     moving = found.filter(F.col("change") != "retyped").withColumn("at", F.when(F.col("change") == "removed", F.col("before")).otherwise(F.col("batch")))
-    met = fields.withColumnRenamed("batch", "at").join(moving.select("source", "at", "path", "batch", "change"), ["source", "at", "path"])
+    fields = files.select("source", F.col("batch").alias("at"), F.explode("fields").alias("f")).select("source", "at", "f.*")
+    met = cut(fields.join(moving.select("source", "at", "path", "batch", "change"), ["source", "at", "path"]))
     stated = F.when(F.col("type") != UNDEFINED, _plain_text(F.col("text")))
-    shares = met.select("source", "batch", "path", "change", stated.alias("v"), "file").filter(F.col("v").isNotNull()).groupBy("source", "batch", "path", "change", "v").agg(F.count("*").alias("n"))
+    shares = met.select("source", "batch", "path", "change", stated.alias("v")).filter(F.col("v").isNotNull()).groupBy("source", "batch", "path", "change", "v").agg(F.count("*").alias("n"))
     total = shares.groupBy("source", "batch", "path", "change").agg(F.sum("n").alias("of"))
     shares = shares.join(total, ["source", "batch", "path", "change"]).select("source", "batch", "path", "change", "v", (F.col("n") / F.col("of")).alias("share"))
     leaving = shares.filter(F.col("change") == "removed").select("source", "batch", F.col("path").alias("old"), "v", F.col("share").alias("s0"))

@@ -18,21 +18,21 @@ MEASURES = {
 
 
 def _header_changes(spark: SparkSession, sf: str) -> DataFrame:
-    return drift.changes(drift.header_fields(read(spark, sf, "hdus")), read(spark, sf, "keydict"))
+    return drift.changes(drift.header_files(read(spark, sf, "hdus")), read(spark, sf, "keydict"))
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
     """Every change of the headers between a rig's batches and of the rules between revisions."""
-    rules = drift.json_fields(read(spark, sf, "app_rules"), "apps", "revision", "app_id", "rule")
+    rules = drift.json_files(read(spark, sf, "app_rules"), "apps", "revision", "app_id", "rule")
     both = _header_changes(spark, sf).unionByName(drift.changes(rules))
     return both.select(F.col("source").alias("rig"), F.col("batch").alias("batch_no"), F.col("path").alias("keyword"), "change", F.col("new_path").alias("new_keyword"))
 
 
 def p1_alternatives(spark: SparkSession, sf: str) -> DataFrame:
     """The tagged union of each batch: every keyword and JSON field with its types and the files that carry each."""
-    rules = drift.json_fields(read(spark, sf, "app_rules"), "apps", "revision", "app_id", "rule")
-    both = drift.header_fields(read(spark, sf, "hdus")).unionByName(rules)
-    return drift.alternatives(both).select(F.col("source").alias("rig"), F.col("batch").alias("batch_no"), F.col("path").alias("keyword"), "type", "files")
+    rules = drift.json_files(read(spark, sf, "app_rules"), "apps", "revision", "app_id", "rule")
+    both = drift.header_files(read(spark, sf, "hdus")).unionByName(rules)
+    return drift.alternatives(both).filter("type <> '*'").select(F.col("source").alias("rig"), F.col("batch").alias("batch_no"), F.col("path").alias("keyword"), "type", "files")
 
 
 def p1_table(spark: SparkSession, sf: str) -> DataFrame:

@@ -29,37 +29,37 @@ def _hdus(spark):
 
 
 def test_changes(spark):
-    got = {(r["batch"], r["path"], r["change"], r["new_path"]) for r in drift.changes(drift.header_fields(_hdus(spark))).collect()}
+    got = {(r["batch"], r["path"], r["change"], r["new_path"]) for r in drift.changes(drift.header_files(_hdus(spark))).collect()}
     assert got == {(2, "PIERSIDE", "removed", ""), (2, "GAIN", "retyped", ""), (4, "EXPTIME", "renamed", "EXPOSURE"), (4, "AIRMASS", "added", "")}
 
 
 def test_contradicting_comments_are_no_rename(spark):
     rows = [(1, "r", 1, 0, [("A", "integer", "1", "one thing")]), (2, "r", 2, 0, [("B", "integer", "1", "another")])]
-    got = {(r["path"], r["change"]) for r in drift.changes(drift.header_fields(spark.createDataFrame(rows, HDUS))).collect()}
+    got = {(r["path"], r["change"]) for r in drift.changes(drift.header_files(spark.createDataFrame(rows, HDUS))).collect()}
     assert got == {("A", "removed"), ("B", "added")}
 
 
 def test_same_values_without_comments_are_a_rename(spark):
     rows = [(1, "r", 1, 0, [("A", "float", "50.0", None)]), (2, "r", 2, 0, [("B", "integer", "50", None)])]
-    assert [(r["path"], r["change"], r["new_path"]) for r in drift.changes(drift.header_fields(spark.createDataFrame(rows, HDUS))).collect()] == [("A", "renamed", "B")]
+    assert [(r["path"], r["change"], r["new_path"]) for r in drift.changes(drift.header_files(spark.createDataFrame(rows, HDUS))).collect()] == [("A", "renamed", "B")]
 
 
 def test_json_paths(spark):
     df = spark.createDataFrame([(1, "x", '{"a": {"b": [1], "c": 2}, "d": true, "e": null}'), (1, "y", None), (1, "z", "no json")], "rev int, app string, rule string")
-    got = {(r["path"], r["type"]) for r in drift.json_fields(df, "apps", "rev", "app", "rule").collect()}
+    got = {(r["path"], r["type"]) for r in drift.json_files(df, "apps", "rev", "app", "rule").selectExpr("inline(fields)").collect()}
     assert got == {("a.b", "array"), ("a.c", "number"), ("d", "boolean"), ("e", "undefined")}
 
 
 def test_unified_table(spark):
     hdus = _hdus(spark)
-    wide = drift.unify(hdus, drift.changes(drift.header_fields(hdus)).filter("change = 'renamed'"))
+    wide = drift.unify(hdus, drift.changes(drift.header_files(hdus)).filter("change = 'renamed'"))
     assert wide.count() == 24
     assert wide.filter("exposure IS NULL").count() == 0 and dict(wide.dtypes)["exposure"] == "double"
     assert "exptime" not in wide.columns and wide.filter("gain IS NULL").count() == 4
 
 
 def test_empty_headers(spark):
-    assert drift.changes(drift.header_fields(_hdus(spark).limit(0))).count() == 0
+    assert drift.changes(drift.header_files(_hdus(spark).limit(0))).count() == 0
 
 
 NUMBERS = {
