@@ -88,3 +88,25 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {"p1_found": p1_found, "p1_alternatives": p1_alternatives, "p1_table": p1_table, "p2_found": p2_found, "p2_wide": p2_wide, "p3_found": p3_found, "p3_faults": p3_faults, "p4_found": p4_found, "p4_sessions": p4_sessions, "p5_found": p5_found}
+
+# SQL twins. NBSP is chr(160) there; the number's grammar is that of functions.values.
+_BARE = "regexp_replace(value_text, '^[\\s\\x{00A0}''\"]+|[\\s\\x{00A0}''\"]+$', '', 'g')"
+_NUM = r"([+-]?(?:[0-9]+[.,]?[0-9]*|[.,][0-9]+)(?:[EeDd][+-]?[0-9]+)?)"
+_UNIT = r"(?:\s+[A-Za-zµ%°\"''][A-Za-z0-9µ%°\"''/^²]*|%|°[CF]?|s|ms|sec|mm|cm|m|C|K|ADU|e|deg|arcsec|mag)?"
+_SQL_CELLS = f"""c AS (SELECT DISTINCT frame_id, hdu, record, keyword, value_type, value_text FROM cards WHERE value_type <> 'undefined' AND value_text IS NOT NULL),
+b AS (SELECT c.*, {_BARE} AS b, field, field_type, coalesce(unit_factor, 1) AS factor FROM c JOIN keydict USING (keyword)),
+n AS (SELECT *, CASE WHEN regexp_full_match(b, '{_NUM}{_UNIT}') THEN TRY_CAST(replace(replace(replace(regexp_extract(b, '^{_NUM}', 1), ',', '.'), 'D', 'E'), 'd', 'E') AS DOUBLE) END AS v FROM b WHERE b <> ''),
+t AS (SELECT frame_id, hdu, record, keyword, field, field_type, CASE WHEN isfinite(v) AND (field_type = 'double' OR field_type = 'bigint' AND v = floor(v)) THEN v * factor END AS num,
+ CASE WHEN field_type = 'boolean' THEN CASE WHEN lower(b) IN ('t', 'true', 'yes', 'y', '1', 'on') THEN true WHEN lower(b) IN ('f', 'false', 'no', 'n', '0', 'off') THEN false END END AS flag, CASE WHEN field_type = 'string' THEN b END AS str FROM n)"""
+
+SQL = {
+    "p2_found": f"""WITH {_SQL_CELLS}, g AS (SELECT frame_id, field, bool_or(num IS NOT NULL OR flag IS NOT NULL OR str IS NOT NULL) AS readable,
+ coalesce(max(num) - min(num) > 0.001::DOUBLE * greatest(abs(max(num)), abs(min(num))), false) OR count(DISTINCT flag) > 1 OR count(DISTINCT upper(str)) > 1 AS apart FROM t GROUP BY 1, 2)
+SELECT frame_id, field, CASE WHEN NOT readable THEN 'unreadable' ELSE 'conflict' END AS problem FROM g WHERE NOT readable OR apart""",
+    "p1_alternatives": """WITH h AS (SELECT DISTINCT ON (frame_id) rig, batch_no, frame_id, cards FROM hdus WHERE hdu = 0), x AS (SELECT DISTINCT rig, batch_no, CAST(frame_id AS VARCHAR) AS f, c.keyword AS keyword, c.value_type AS type FROM (SELECT rig, batch_no, frame_id, unnest(cards) AS c FROM h)),
+j AS (SELECT revision, app_id, key, json_extract(rule, '$."' || key || '"') AS v, '' AS pre FROM (SELECT revision, app_id, rule, unnest(json_keys(rule)) AS key FROM app_rules)),
+k AS (SELECT revision, app_id, key AS path, v FROM j WHERE json_type(v) <> 'OBJECT' UNION ALL SELECT revision, app_id, key || '.' || sub, json_extract(v, '$."' || sub || '"') FROM (SELECT *, unnest(json_keys(v)) AS sub FROM j WHERE json_type(v) = 'OBJECT')),
+a AS (SELECT rig, batch_no, f, keyword, type FROM x WHERE type NOT IN ('undefined', 'commentary') UNION ALL
+ SELECT 'apps', revision, app_id, path, CASE json_type(v) WHEN 'VARCHAR' THEN 'string' WHEN 'ARRAY' THEN 'array' WHEN 'BOOLEAN' THEN 'boolean' ELSE 'number' END FROM k WHERE json_type(v) <> 'NULL')
+SELECT rig, batch_no, keyword, type, count(*) AS files FROM a GROUP BY ALL""",
+}
