@@ -100,3 +100,13 @@ def test_discovered_types(spark):
     rows = [(i, 0, i, k, "string", v, None) for i, (k, v) in enumerate([("a", "1"), ("a", "2"), ("b", "1.5"), ("b", "2"), ("c", "yes"), ("c", "no"), ("d", "x"), ("e", None)])]
     got = {r["keyword"]: r["field_type"] for r in eav.discover(spark.createDataFrame(rows, CARDS)).collect()}
     assert got == {"a": "bigint", "b": "double", "c": "boolean", "d": "string", "e": "string"}
+
+
+def test_extra_columns_that_clash(spark):
+    from pyspark.sql import functions as F
+
+    hdus = _hdus(spark).withColumns({"source": F.lit(1), "path": F.lit("x"), "fields": F.lit(2)})
+    assert drift.changes(drift.header_files(hdus)).count() == 4
+    cards = spark.createDataFrame([(1, 0, 1, "EXPTIME", "float", "60.0", None)], CARDS).withColumns({"field": F.lit(1), "num": F.lit("x"), "entity": F.lit(0)})
+    dictionary = spark.createDataFrame(DICT, "keyword string, field string, field_type string, unit_factor double").withColumn("value_text", F.lit(1))
+    assert eav.widen(eav.typed(cards, dictionary), eav.fields_of(dictionary)).first()["exposure_s"] == 60.0

@@ -77,3 +77,12 @@ def test_usual_level_and_odd_rows(spark):
     got = {(r["item"], r["reason"]) for r in spikes.faults(spark.createDataFrame(rows, SCHEMA), LIMITS, usual=("m",)).collect()}
     assert got == {(60, "spike")}
     assert spikes.faults(spark.createDataFrame(rows, SCHEMA).limit(0), LIMITS).count() == 0
+
+
+def test_extra_columns_that_clash(spark):
+    """Columns named like those the operators make inside."""
+    rows = [("m", "s", i, i * 60_000_000, 5.0 + i % 3, 1, True, "x", 2) for i in range(30)]
+    df = spark.createDataFrame(rows, SCHEMA + ", chunk int, own boolean, reason string, scatter int")
+    assert spikes.faults(df, LIMITS).count() == 0
+    events = df.selectExpr("source AS rig", "at AS micros", "item AS frame_id", "chunk AS key", "scatter AS start", "own AS edge")
+    assert sessions.sessionise(events, "rig", "micros", "frame_id").count() == 1
