@@ -127,7 +127,8 @@ def map_designations(values: DataFrame, entries: DataFrame, threshold: float = 0
     less similar than LIKE counts only if at most SLIPS letters differ or it
     is the beginning of the entry's.
     """
-    read = cut(_readings(values.filter(F.col("value").isNotNull()).distinct(), "value"))
+    read = cut(_readings(values.select("value").filter(F.col("value").isNotNull()).distinct(), "value"))
+    entries = entries.select("ref_id", "label", "is_name").filter(F.col("label").isNotNull())
     names = entries.filter("is_name").select("ref_id", folded(F.col("label")).alias("words"))
     short = names.withColumn("words", F.regexp_replace("words", r"\s+\S+$", "")).join(names.select("words"), "words", "left_anti")
     only = Window.partitionBy("words")
@@ -172,7 +173,7 @@ def map_labels(values: DataFrame, entries: DataFrame, threshold: float = 0.5) ->
     derived = derived.withColumn("_n", F.size(F.collect_set("ref_id").over(Window.partitionBy("p")))).filter("_n = 1").drop("_n").select("ref_id", "p", "derived")
     reference = split(full.unionByName(derived)).filter(F.col("p") != "").withColumn("ref", F.concat_ws("|", "ref_id", "p"))
     right = cut(with_tokens(reference, "words", "numbers"))
-    left = split(values.filter(F.col("value").isNotNull()).distinct().withColumn("p", plain(F.col("value")))).filter(F.col("words") != "").withColumn("id", F.col("value"))
+    left = split(values.select("value").filter(F.col("value").isNotNull()).distinct().withColumn("p", plain(F.col("value")))).filter(F.col("words") != "").withColumn("id", F.col("value"))
     left = cut(with_tokens(left, "words", "numbers"))
     pairs = similarity_join(left, right, threshold).join(left.select("id", "value"), "id").join(right.select("ref", "ref_id", "derived"), "ref")
     # a shortened label counts only where it is met letter by letter

@@ -136,3 +136,15 @@ def test_own_words(spark):
     }
     df = spark.createDataFrame([(k,) for k in cases], "t string")
     assert {r["t"]: r["o"] for r in df.select("t", reading.own_words(F.col("t")).alias("o")).collect()} == cases
+
+
+def test_extra_columns_that_clash(spark):
+    """Columns named like those the operators make inside, and rows listed twice."""
+    docs = spark.createDataFrame([(i, f"cat dog {i} " * 40, "en", "speech", "a", 1, "x", [1], "y") for i in (1, 2, 2)], "doc_id bigint, text string, lang string, turn_type string, source string, n int, words string, tokens array<int>, size string")
+    assert packing.pack_texts(docs, capacity=50).count() > 3
+    targets = spark.createDataFrame([("a", 1.0, 2, "z")], "source string, target_share double, max_repeats int, tokens string")
+    assert mixing.mix(docs, targets.drop("tokens"))[1].count() == 1
+    rated = spark.createDataFrame([(1, 2, 7), (2, 3, 7)], "doc_id bigint, level int, n int")
+    assert {r["doc_id"] for r in reading.reading_levels(docs, rated).collect()} == {1, 2}
+    values = spark.createDataFrame([("vgc 144", "f", 1)], "value string, f string, numbers int")
+    assert mapping.map_designations(values, spark.createDataFrame(ENTRIES, "ref_id int, label string, is_name boolean").withColumn("f", F.lit(1))).count() == 1
