@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import os
+import sys
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -13,14 +13,16 @@ from pyspark.sql import functions as F
 TOKENIZER = os.environ.get("SKYLEDGER_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.json")
 
 
-@lru_cache(maxsize=2)
 def _tokenizer(path: str):
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    found = Tokenizer.from_file(path)
-    found.encode_special_tokens = True
-    return found
+    """The tokenizer, read once per worker; this function travels by value, so the cache is kept outside its module."""
+    loaded = sys.__dict__.setdefault("_skyledger_tokenizers", {})
+    if path not in loaded:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        loaded[path] = Tokenizer.from_file(path)
+        loaded[path].encode_special_tokens = True
+    return loaded[path]
 
 
 def n_tokens(text: Column, path: str = TOKENIZER) -> Column:
