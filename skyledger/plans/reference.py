@@ -444,6 +444,15 @@ def ref_classify(spark, sf):
     return classify.classify(_frames(spark, sf).join(types, "frame_id"))
 
 
+@query()
+def ref_verdicts(spark, sf):
+    """The verdict on every listed file, by all evidence at hand; ref_classify judges only files with a type card, as its statement does."""
+    columns = ["frame_id", "hdu", "record", "keyword", "value_type", "value_text"]
+    units = read(spark, sf, "hdus")
+    cards = units.select("frame_id", "hdu", F.posexplode("cards").alias("record", "c")).select("frame_id", "hdu", "record", "c.keyword", "c.value_type", "c.value_text")
+    return classify.verdicts(_frames(spark, sf), read(spark, sf, "cards").select(*columns).unionByName(cards), units)
+
+
 _OPS = [(1, "set", "OBSERVER", "archive"), (2, "set", "BINX", "1"), (3, "unset", "SITELAT", None), (4, "unset", "SITELONG", None), (5, "set", "OBSERVER", "the archive"), (6, "set", "XBINNING", "1")]
 _OPS_SQL = "o(place, op, keyword, value) AS (VALUES " + ", ".join(f"({p}, '{o}', '{k}', {'NULL' if v is None else repr(v)})" for p, o, k, v in _OPS) + ")"
 
