@@ -182,61 +182,102 @@ def changes(files: DataFrame, meaning: DataFrame | None = None, least_share: flo
     return rest.unionByName(renamed.select("source", "batch", F.col("old").alias("path"), F.lit("renamed").alias("change"), F.col("new").alias("new_path")))
 
 
-def canonical_names(names: list[str], renamed: list[tuple[str, str]]) -> dict[str, str]:
-    """Each path's canonical name: paths linked by renames are one, named by the first of them in the alphabet.
+def canonical_names(events: list[tuple[int, str, str]], batches: list[int]) -> list[tuple[int, str, str]]:
+    """(batch, path, name) of one source's renamed paths.
 
-    Works on the schema's names alone, on the driver.
+    events: (batch, old, new). A path is followed through the renames that come
+    after its batch; a file that still carries a name that was given up counts
+    as the new one. Paths that end as one are named by the first of them in the
+    alphabet.
     """
-    head = {n: n for n in names} | {x: x for pair in renamed for x in pair}
+    events = sorted(events)
 
-    def find(x: str) -> str:
-        while head[x] != x:
-            head[x] = head[head[x]]
-            x = head[x]
-        return x
+    def end(path: str, batch: int) -> tuple[str, int]:
+        for _ in range(2 * len(events) + 1):
+            before = [e for e in events if e[0] <= batch and path in e[1:]]
+            after = [e for e in events if e[0] > batch and path == e[1]]
+            step = before[-1] if before and before[-1][1] == path else after[0] if after else None
+            if step is None:
+                break
+            batch, path = step[0], step[2]
+        # where a path is last known tells apart two lives of one name
+        return path, max((e[0] for e in events if e[0] <= batch and path in e[1:]), default=-1)
 
-    for a, b in renamed:
-        x, y = sorted((find(a), find(b)))
-        head[y] = x
-    return {n: find(n) for n in head}
+    ends = {(b, p): end(p, b) for b in batches for p in sorted({x for e in events for x in e[1:]})}
+    first: dict[tuple[str, int], str] = {}
+    for (_, p), at in sorted(ends.items(), key=lambda x: x[0][1]):
+        first.setdefault(at, p)
+    return [(b, p, first[at]) for (b, p), at in ends.items()]
 
 
-def _any_of(keywords: list[str]):
-    return lambda c: c["keyword"].isin(keywords) & (c["value_type"] != UNDEFINED)
+def _canonical(events: pd.DataFrame, batches: pd.DataFrame) -> pd.DataFrame:
+    named = canonical_names(list(zip(events["batch"], events["path"], events["new_path"])), sorted(set(batches["batch"]))) if len(events) else []
+    source = events["source"].iloc[0] if len(events) else None
+    return pd.DataFrame([(source, *x) for x in named], columns=["source", "batch", "path", "name"])
 
 
 _CANON = {"float": "double", "number": "double", "integer": "bigint", "logical": "boolean", "boolean": "boolean"}
 
 
-def unify(hdus: DataFrame, renames: DataFrame, hdu: int = 0) -> DataFrame:
-    """One consistent table: a row per header, a column per canonical path, whatever the file called it.
+def _stated(name: str):
+    return lambda f: (f["name"] == name) & (F.coalesce(f["type"], F.lit("")) != UNDEFINED)
+
+
+def unit_files(hdus: DataFrame) -> DataFrame:
+    """As header_files, of the units beyond the first: the source of unit k of a rig is `rig#k`."""
+    later = hdus.filter(F.col("hdu") > 0)
+    return header_files(later.withColumn("rig", F.concat_ws("#", "rig", "hdu")), hdu=None)
+
+
+def unify(hdus: DataFrame, renames: DataFrame, documents: DataFrame | None = None) -> DataFrame:
+    """One consistent table: a row per header unit and document, a column per canonical path, whatever the file called it.
+
+    rig, batch_no, file, frame_id, hdu, then three columns a path. hdus: every
+    unit is a row. documents: as json_files gives them, with null frame_id and
+    hdu. renames: source (`rig`, and `rig#k` for later units), batch, path,
+    new_path; they hold for their source and batch only.
 
     The column has the type most files carry. A value of another branch is
     converted where it states that type; where it doesn't, the column is null
-    and `<column>__other` holds the value as `type:text`. Of a path given twice
-    the first counts; headers listed twice count once. No shuffle but the one
-    that drops these.
+    and `<column>__other` holds the value as `type:text`. Of a path stated
+    twice, by one name or several, the first counts and `<column>__more` holds
+    the others as `path=type:text`. Headers listed twice count once.
     """
-    once = hdus.filter(F.col("hdu") == hdu).dropDuplicates(["rig", "batch_no", "frame_id", "hdu"])
-    cards = once.select(F.explode("cards").alias("c")).filter((F.col("c.value_type") != "commentary") & F.col("c.keyword").isNotNull())
-    tally = cards.groupBy(F.col("c.keyword").alias("k"), F.col("c.value_type").alias("t")).count().collect()
-    pairs = [(r["old"], r["new"]) for r in renames.select(F.col("path").alias("old"), F.col("new_path").alias("new")).distinct().collect()]
-    name = canonical_names(sorted({r["k"] for r in tally}), pairs)
-    members: dict[str, list[str]] = {}
-    for k in sorted({r["k"] for r in tally}):
-        members.setdefault(name[k], []).append(k)
+    once = hdus.dropDuplicates(["rig", "batch_no", "frame_id", "hdu"])
+    cards = F.filter("cards", lambda c: c["keyword"].isNotNull() & (F.coalesce(c["value_type"], F.lit("")) != "commentary"))
+    source = F.when(F.col("hdu") > 0, F.concat_ws("#", "rig", "hdu")).otherwise(F.col("rig"))
+    field = lambda path, kind, text: F.struct(path.alias("path"), kind.alias("type"), text.alias("text"))
+    fields = F.transform(cards, lambda c: field(c["keyword"], c["value_type"], c["value_text"]))
+    rows = once.select("rig", F.col("batch_no").cast("int").alias("batch_no"), F.col("frame_id").cast("string").alias("file"), "frame_id", F.col("hdu").cast("int").alias("hdu"), source.alias("source"), fields.alias("fields"))
+    if documents is not None:
+        told = F.transform("fields", lambda f: field(f["path"], f["type"], f["text"]))
+        rows = rows.unionByName(documents.select(F.col("source").alias("rig"), F.col("batch").cast("int").alias("batch_no"), "file", F.lit(None).cast("bigint").alias("frame_id"), F.lit(None).cast("int").alias("hdu"), "source", told.alias("fields")))
+    events = renames.select("source", F.col("batch").cast("int").alias("batch"), "path", "new_path").distinct()
+    batches = rows.select("source", F.col("batch_no").alias("batch")).distinct()
+    names = events.groupBy("source").cogroup(batches.groupBy("source")).applyInPandas(_canonical, "source string, batch int, path string, name string")
+    names = names.groupBy("source", F.col("batch").alias("batch_no")).agg(F.map_from_entries(F.collect_list(F.struct("path", "name"))).alias("names"))
+    named = F.transform("fields", lambda f: F.struct(F.coalesce(F.try_element_at(F.col("names"), f["path"]), f["path"]).alias("name"), f["path"].alias("path"), f["type"].alias("type"), f["text"].alias("text")))
+    rows = cut(rows.join(names, ["source", "batch_no"], "left").withColumn("fields", F.when(F.col("names").isNull(), F.transform("fields", lambda f: F.struct(f["path"].alias("name"), f["path"].alias("path"), f["type"].alias("type"), f["text"].alias("text")))).otherwise(named)).drop("names"))
+
+    tally = rows.select(F.explode("fields").alias("f")).groupBy("f.name", "f.type").count().collect()
     weight: dict[str, dict[str, int]] = {}
     for r in tally:
-        kind = _CANON.get(r["t"], "string")
-        if r["t"] not in (UNDEFINED, "unparsed"):
-            weight.setdefault(name[r["k"]], {}).setdefault(kind, 0)
-            weight[name[r["k"]]][kind] += r["count"]
-    columns = []
-    for path, ks in sorted(members.items()):
-        kind = max(sorted(weight.get(path, {"string": 1}).items()), key=lambda x: x[1])[0]
-        card = F.try_element_at(F.filter("cards", _any_of(ks)), F.lit(1))
-        text = card["value_text"]
+        own = weight.setdefault(r["name"], {})
+        if r["type"] not in (UNDEFINED, "unparsed", None):
+            kind = _CANON.get(r["type"], "string")
+            own[kind] = own.get(kind, 0) + r["count"]
+    stated, columns, labels = [], [], set()
+    for i, (path, kinds) in enumerate(sorted(weight.items())):
+        kind = max(sorted((kinds or {"string": 1}).items()), key=lambda x: x[1])[0]
+        stated.append(F.filter("fields", _stated(path)).alias(f"_{i}"))
+        card = F.try_element_at(F.col(f"_{i}"), F.lit(1))
+        text = card["text"]
         value = {"double": values.number(text), "bigint": values.whole(text).cast("bigint"), "boolean": values.logical(text), "string": values.bare(text)}[kind]
         label = "".join(ch.lower() if ch.isalnum() else "_" for ch in path)
-        columns += [value.alias(label), F.when(value.isNull() & text.isNotNull(), F.concat(card["value_type"], F.lit(":"), text)).alias(f"{label}__other")]
-    return once.select("frame_id", "rig", "batch_no", "hdu", *columns)
+        while label in labels | {"rig", "batch_no", "file", "frame_id", "hdu"}:
+            label += "_"
+        labels.add(label)
+        more = F.transform(F.slice(F.col(f"_{i}"), 2, 1_000_000), lambda f: F.concat(f["path"], F.lit("="), F.coalesce(f["type"], F.lit("")), F.lit(":"), F.coalesce(f["text"], F.lit(""))))
+        columns += [value.alias(label), F.when(value.isNull() & text.isNotNull(), F.concat(F.coalesce(card["type"], F.lit("")), F.lit(":"), text)).alias(f"{label}__other"), F.when(F.size(more) > 0, more).alias(f"{label}__more")]
+    keys = ["rig", "batch_no", "file", "frame_id", "hdu"]
+    return rows.select(*keys, *stated).select(*keys, *columns)

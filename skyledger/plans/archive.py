@@ -36,8 +36,12 @@ def p1_alternatives(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p1_table(spark: SparkSession, sf: str) -> DataFrame:
-    """One consistent table of all headers."""
-    return drift.unify(read(spark, sf, "hdus"), _header_changes(spark, sf).filter(F.col("change") == "renamed"))
+    """One consistent table of all header units and of the rules of all revisions."""
+    hdus = read(spark, sf, "hdus")
+    rules = drift.json_files(read(spark, sf, "app_rules"), "apps", "revision", "app_id", "rule")
+    headers = drift.header_files(hdus).unionByName(drift.unit_files(hdus))
+    found = drift.changes(headers, read(spark, sf, "keydict")).unionByName(drift.changes(rules))
+    return drift.unify(hdus, found.filter(F.col("change") == "renamed"), rules)
 
 
 def _cells(spark: SparkSession, sf: str) -> DataFrame:

@@ -4,7 +4,7 @@ import os
 
 import pytest
 
-from skyledger.operators import classify
+from skyledger.operators import classify, drift
 
 DATA = "/root/testdata/sf0.001"
 there = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables here")
@@ -44,3 +44,31 @@ def test_every_listed_file_has_a_verdict(spark):
     listed = spark.read.parquet(f"{DATA}/frames.parquet").select("frame_id").distinct()
     got = reference.QUERIES["ref_verdicts"](spark, DATA)
     assert got.count() == listed.count() == got.join(listed, "frame_id").count()
+
+
+HDUS = "frame_id bigint, rig string, batch_no int, hdu int, cards array<struct<keyword string, value_type string, value_text string, note string>>"
+
+
+def test_unified_table_keeps_units_rules_and_second_values(spark):
+    card = lambda k, v, t="float": (k, t, v, None)
+    rows = [
+        (1, "a", 1, 0, [card("X", "5.0")]), (1, "a", 1, 1, [card("NSTARS", "7", "integer")]),
+        (2, "a", 2, 0, [card("Y", "5.0"), card("X", "9.0")]), (3, "a", 2, 0, [card("X", "4.0")]),
+        (4, "b", 1, 0, [card("X", "1.0"), card("Y", "2.0")]), (5, "b", 2, 0, [card("Y", "3.0"), card("Y", "3.5")]),
+    ]
+    renames = spark.createDataFrame([("a", 2, "X", "Y"), ("apps", 2, "old.k", "new.k")], "source string, batch int, path string, new_path string")
+    rules = drift.json_files(spark.createDataFrame([(1, "p", '{"old": {"k": 1}}'), (2, "p", '{"new": {"k": 2}, "l": [1]}')], "rev int, app string, rule string"), "apps", "rev", "app", "rule")
+    wide = drift.unify(spark.createDataFrame(rows + rows[:2], HDUS), renames, rules)
+    got = {(r["rig"], r["batch_no"], r["file"], r["hdu"]): r for r in wide.collect()}
+    assert len(got) == wide.count() == 8
+    assert got["a", 1, "1", 1]["nstars"] == 7 and got["apps", 2, "p", None]["l"] == "[1]"
+    assert [got["apps", b, "p", None]["new_k"] for b in (1, 2)] == [1.0, 2.0]
+    assert [got["a", b, f, 0]["x"] for b, f in ((1, "1"), (2, "2"), (2, "3"))] == [5.0, 5.0, 4.0] and got["a", 2, "2", 0]["x__more"] == ["X=float:9.0"]
+    assert (got["b", 1, "4", 0]["x"], got["b", 1, "4", 0]["y"]) == (1.0, 2.0) and got["b", 2, "5", 0]["y__more"] == ["Y=float:3.5"]
+
+
+def test_canonical_names_follow_batches():
+    back = {(b, p): n for b, p, n in drift.canonical_names([(2, "A", "B"), (5, "B", "A")], [1, 3, 6])}
+    assert set(back.values()) == {"A"}
+    apart = {(b, p): n for b, p, n in drift.canonical_names([(2, "M", "N"), (4, "K", "M")], [1, 5])}
+    assert apart[1, "M"] == apart[5, "N"] and apart[5, "M"] == apart[1, "K"] and apart[5, "M"] != apart[5, "N"]
