@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from skyledger.llm.tokens import TOKENIZER, n_tokens
 from skyledger.session import cut
 
-_PLACED = "shard bigint, doc_id bigint, piece int, first_token bigint, tokens bigint, slot bigint"
+_PLACED = "shard bigint, item bigint, doc_id bigint, piece int, first_token bigint, tokens bigint, slot bigint"
 
 
 def _assign(sizes: np.ndarray, capacity: int, linear: float, quadratic: float, tight: bool) -> np.ndarray:
@@ -64,32 +64,34 @@ def pack_sizes(sizes: np.ndarray, capacity: int, linear: float, quadratic: float
 
 def _pack(capacity: int, linear: float, quadratic: float):
     def pack(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["tokens", "doc_id", "piece"], ascending=[False, True, True], kind="stable")
-        return rows.assign(slot=pack_sizes(rows["tokens"].to_numpy(), capacity, linear, quadratic))[["shard", "doc_id", "piece", "first_token", "tokens", "slot"]]
+        rows = rows.sort_values(["tokens", "doc_id", "item"], ascending=[False, True, True], kind="stable")
+        return rows.assign(slot=pack_sizes(rows["tokens"].to_numpy(), capacity, linear, quadratic))[["shard", "item", "doc_id", "piece", "first_token", "tokens", "slot"]]
 
     return pack
 
 
 def pack_texts(documents: DataFrame, capacity: int = 2048, linear: float = 1.0, quadratic: float = 1 / 2048, shard_items: int = 8_000, tokenizer: str = TOKENIZER) -> DataFrame:
-    """container, doc_id, piece, first_token, tokens of every piece.
+    """container, item, doc_id, piece, first_token, tokens of every piece; item numbers the row, as a doc_id may be repeated or null.
 
     documents: doc_id, text. Null and empty texts need no room and are left
     out; a repeated row is an item of its own. A text of more than `capacity`
     tokens is cut into full containers and a rest, others are never cut. An
     empty table gives no container.
     """
-    sized = cut(documents.select("doc_id", n_tokens(F.col("text"), tokenizer).alias("size"))).filter(F.col("size") > 0)
+    # each row gets its number once, after which nothing is worked out again: copies of a text and texts without a doc_id stay apart
+    sized = documents.select("doc_id", n_tokens(F.col("text"), tokenizer).alias("size")).withColumn("item", F.monotonically_increasing_id())
+    sized = cut(sized).filter(F.col("size") > 0)
     pieces = F.ceil(F.col("size") / capacity).cast("int")
-    cutup = sized.select("doc_id", "size", F.explode(F.sequence(F.lit(0), pieces - 1)).alias("piece"))
+    cutup = sized.select("item", "doc_id", "size", F.explode(F.sequence(F.lit(0), pieces - 1)).alias("piece"))
     first = F.col("piece").cast("bigint") * capacity
-    items = cutup.select("doc_id", "piece", first.alias("first_token"), F.least(F.lit(capacity), F.col("size") - first).alias("tokens"))
-    whole = items.filter(F.col("tokens") == capacity).withColumn("container", F.concat_ws("-", F.lit("full"), "doc_id", "piece"))
+    items = cutup.select("item", "doc_id", "piece", first.alias("first_token"), F.least(F.lit(capacity), F.col("size") - first).alias("tokens"))
+    whole = items.filter(F.col("tokens") == capacity).withColumn("container", F.concat_ws("-", F.lit("full"), "item", "piece"))
     rest = items.filter(F.col("tokens") < capacity)
     shards = max(1, math.ceil(sized.count() / shard_items))
-    dealt = rest.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(shards)))
+    dealt = rest.withColumn("shard", F.pmod(F.xxhash64("item"), F.lit(shards)))
     placed = dealt.groupBy("shard").applyInPandas(_pack(capacity, linear, quadratic), _PLACED)
     placed = placed.withColumn("container", F.concat_ws("-", F.lit("mixed"), "shard", "slot"))
-    names = ["container", "doc_id", "piece", "first_token", "tokens"]
+    names = ["container", "item", "doc_id", "piece", "first_token", "tokens"]
     return placed.select(*names).unionByName(whole.select(*names))
 
 
