@@ -327,6 +327,26 @@ def ref_catalogue_lookup(spark, sf):
     return catalogue.lookup(names, "object", read(spark, sf, "targets"), "target_id", ["designation", "common_name"]).select("object", "target_id")
 
 
+@query(f"""WITH {_SUBS}, n AS (SELECT DISTINCT object FROM l WHERE object IS NOT NULL), a AS (SELECT target_id, unnest(aliases) AS alias FROM targets),
+k AS (SELECT {_PLAIN('designation')} AS plain, target_id FROM targets UNION ALL SELECT {_PLAIN('common_name')}, target_id FROM targets WHERE common_name IS NOT NULL UNION ALL SELECT {_PLAIN('alias')}, target_id FROM a WHERE alias IS NOT NULL),
+m AS (SELECT plain, min(target_id) AS target_id FROM k WHERE plain <> '' GROUP BY 1) SELECT object, target_id FROM (SELECT object, {_PLAIN('object')} AS plain FROM n) LEFT JOIN m USING (plain)""")
+def ref_catalogue_names(spark, sf):
+    """As ref_catalogue_lookup, by all names of an entry, aliases too."""
+    names = _frames(spark, sf).filter(folder.is_light() & F.col("object").isNotNull()).select("object").distinct()
+    return catalogue.lookup(names, "object", read(spark, sf, "targets"), "target_id", ["designation", "common_name", "aliases"]).select("object", "target_id")
+
+
+@query()
+def ref_catalogue_nearest(spark, sf):
+    """The entry that the header's position is of, for light files whose name means none."""
+    columns = ["frame_id", "hdu", "record", "keyword", "value_text"]
+    units = read(spark, sf, "hdus").select("frame_id", "hdu", F.posexplode("cards").alias("record", "c")).select("frame_id", "hdu", "record", "c.keyword", "c.value_text")
+    at = catalogue.header_positions(read(spark, sf, "cards").select(*columns).unionByName(units))
+    lights = _frames(spark, sf).filter(folder.is_light()).select("frame_id", "object")
+    named = catalogue.lookup(lights, "object", read(spark, sf, "targets"), "target_id", ["designation", "common_name", "aliases"])
+    return catalogue.nearest(named.filter("target_id IS NULL").select("frame_id").join(at, "frame_id"), "frame_id", read(spark, sf, "targets"), "target_id")
+
+
 _SEP = "2 * asin(least(1.0, sqrt(pow(sin(radians(b.dec_deg - a.dec_deg) / 2), 2) + cos(radians(a.dec_deg)) * cos(radians(b.dec_deg)) * pow(sin(radians(b.ra_deg - a.ra_deg) / 2), 2)))) / pi() * 180"
 
 

@@ -4,7 +4,7 @@ import os
 
 import pytest
 
-from skyledger.operators import classify, drift
+from skyledger.operators import catalogue, classify, drift
 
 DATA = "/root/testdata/sf0.001"
 there = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables here")
@@ -72,3 +72,21 @@ def test_canonical_names_follow_batches():
     assert set(back.values()) == {"A"}
     apart = {(b, p): n for b, p, n in drift.canonical_names([(2, "M", "N"), (4, "K", "M")], [1, 5])}
     assert apart[1, "M"] == apart[5, "N"] and apart[5, "M"] == apart[1, "K"] and apart[5, "M"] != apart[5, "N"]
+
+
+TARGETS = "target_id int, designation string, common_name string, aliases array<string>, ra_deg double, dec_deg double, size_arcmin double"
+
+
+def test_lookup_by_alias_and_by_position(spark):
+    targets = spark.createDataFrame([(1, "QB 3", None, ["Wn 0035", "x"], 359.9, 10.0, None), (2, "QB 4", "Wheel", None, 0.2, 10.3, 60.0), (3, "QB 5", None, [None], 200.0, -89.9, 5.0)], TARGETS)
+    names = spark.createDataFrame([("wn_35",), ("wheel",), ("qb3",), ("other",)], "object string")
+    found = catalogue.lookup(names, "object", targets, "target_id", ["designation", "common_name", "aliases"]).collect()
+    assert {r["object"]: r["target_id"] for r in found} == {"wn_35": 1, "wheel": 2, "qb3": 1, "other": None}
+    cards = [
+        (1, 0, 1, "RA", "359.95"), (1, 0, 2, "DEC", "10.0"), (2, 0, 1, "OBJCTRA", "'00 00 00'"), (2, 0, 2, "OBJCTDEC", "'+10 15 00'"), (3, 0, 1, "RA", "20.0"), (3, 0, 2, "DEC", "-89:54:00"),
+        (4, 0, 1, "RA", "100.0"), (4, 0, 2, "DEC", "10.0"), (5, 0, 1, "RA", "0.0"), (6, 0, 1, "RA", "bad"), (6, 0, 2, "OBJCTRA", "12:00:00"), (6, 0, 3, "DEC", "-0 30 00"),
+    ]
+    at = catalogue.header_positions(spark.createDataFrame(cards, "frame_id bigint, hdu int, record int, keyword string, value_text string"))
+    assert {r["frame_id"]: (r["ra_deg"], r["dec_deg"]) for r in at.collect()} == {1: (359.95, 10.0), 2: (0.0, 10.25), 3: (20.0, -89.9), 4: (100.0, 10.0), 6: (180.0, -0.5)}
+    near = {r["frame_id"]: r["target_id"] for r in catalogue.nearest(at, "frame_id", targets, "target_id").collect()}
+    assert near == {1: 2, 2: 2, 3: 3}
