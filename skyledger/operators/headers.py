@@ -20,6 +20,19 @@ def exploded(hdus: DataFrame, hdu: int = 0) -> DataFrame:
     return once.select("frame_id", "rig", "batch_no", F.posexplode("cards").alias("record", "c")).select("frame_id", "rig", "batch_no", "record", "c.*")
 
 
+def unit_cards(hdus: DataFrame) -> DataFrame:
+    """As `exploded`, of every unit; frame_id is the struct (hdu, frame_id) that names the unit."""
+    once = hdus.dropDuplicates(["frame_id", "hdu"]).withColumn("frame_id", F.struct("hdu", "frame_id"))
+    return once.select("frame_id", F.posexplode("cards").alias("record", "c")).select("frame_id", "record", "c.*")
+
+
+def successive_units(hdus: DataFrame) -> DataFrame:
+    """a, b: every unit (hdu, frame_id) and the one before it of the same rig and hdu. Only ids are sorted, a rig's in one task."""
+    own = Window.partitionBy("rig", "hdu").orderBy("frame_id")
+    units = hdus.select("rig", "frame_id", "hdu").dropDuplicates(["frame_id", "hdu"]).withColumn("before", F.lag("frame_id").over(own))
+    return units.filter("before IS NOT NULL").select(F.struct("hdu", F.col("before").alias("frame_id")).alias("a"), F.struct("hdu", "frame_id").alias("b"))
+
+
 def first_values(cards: DataFrame, keys: list[str]) -> DataFrame:
     """The first card of each keyword, commentary aside."""
     some = cards.filter((F.col("value_type") != "commentary") & F.col("keyword").isNotNull())

@@ -273,6 +273,21 @@ def ref_header_diff(spark, sf):
     return headers.differences(headers.exploded(hdus), pairs)
 
 
+@query("""WITH h AS (SELECT DISTINCT ON (frame_id, hdu) * FROM hdus), x AS (SELECT frame_id, hdu, generate_subscripts(cards, 1) - 1 AS record, unnest(cards) AS c FROM h), k AS (SELECT frame_id, hdu, record, c.keyword AS keyword, c.value_type AS value_type, c.value_text AS value_text FROM x),
+p AS (SELECT hdu, frame_id AS b, lag(frame_id) OVER (PARTITION BY rig, hdu ORDER BY frame_id) AS a FROM h), l AS (SELECT frame_id, hdu, keyword, arg_max(row(value_type, value_text), record) AS v FROM k WHERE value_type <> 'commentary' GROUP BY 1, 2, 3),
+pa AS (SELECT p.hdu, a, b, keyword, v[1] AS ta, trim(v[2]) AS va FROM p JOIN l ON l.frame_id = p.a AND l.hdu = p.hdu), pb AS (SELECT p.hdu, a, b, keyword, v[1] AS tb, trim(v[2]) AS vb FROM p JOIN l ON l.frame_id = p.b AND l.hdu = p.hdu WHERE a IS NOT NULL),
+z AS (SELECT coalesce(pa.hdu, pb.hdu) AS hdu, coalesce(pa.a, pb.a) AS a, coalesce(pa.b, pb.b) AS b, coalesce(pa.keyword, pb.keyword) AS keyword, va AS value_a, vb AS value_b,
+ CASE WHEN pb.b IS NULL THEN 'only_a' WHEN pa.b IS NULL THEN 'only_b' WHEN ta IN ('integer', 'float') AND tb IN ('integer', 'float') THEN
+  CASE WHEN TRY_CAST(replace(replace(va, 'D', 'E'), 'd', 'E') AS DOUBLE) = TRY_CAST(replace(replace(vb, 'D', 'E'), 'd', 'E') AS DOUBLE) THEN 'same' ELSE 'changed' END
+  WHEN va IS NOT DISTINCT FROM vb THEN 'same' ELSE 'changed' END AS status FROM pa FULL JOIN pb ON pa.hdu = pb.hdu AND pa.a = pb.a AND pa.b = pb.b AND pa.keyword = pb.keyword)
+SELECT hdu, a, b, keyword, status, value_a, value_b FROM z WHERE status <> 'same'""")
+def ref_header_changes(spark, sf):
+    """Every header unit against the one before it of the same rig and hdu; ref_header_diff compares the first files of batches only."""
+    hdus = read(spark, sf, "hdus")
+    found = headers.differences(headers.unit_cards(hdus), headers.successive_units(hdus))
+    return found.select("b.hdu", F.col("a.frame_id").alias("a"), F.col("b.frame_id").alias("b"), "keyword", "status", "value_a", "value_b")
+
+
 @query("WITH c AS (SELECT DISTINCT frame_id, hdu, record, keyword, value_type, value_text FROM cards WHERE value_type <> 'commentary') SELECT frame_id, keyword, v[1] AS value_type, v[2] AS value_text FROM (SELECT frame_id, keyword, arg_min(row(value_type, value_text), row(hdu, record)) AS v FROM c GROUP BY 1, 2)")
 def ref_first_values(spark, sf):
     cards = read(spark, sf, "cards").withColumn("record", F.struct("hdu", "record"))

@@ -4,7 +4,7 @@ import os
 
 import pytest
 
-from skyledger.operators import catalogue, classify, drift
+from skyledger.operators import catalogue, classify, drift, headers
 
 DATA = "/root/testdata/sf0.001"
 there = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables here")
@@ -90,3 +90,11 @@ def test_lookup_by_alias_and_by_position(spark):
     assert {r["frame_id"]: (r["ra_deg"], r["dec_deg"]) for r in at.collect()} == {1: (359.95, 10.0), 2: (0.0, 10.25), 3: (20.0, -89.9), 4: (100.0, 10.0), 6: (180.0, -0.5)}
     near = {r["frame_id"]: r["target_id"] for r in catalogue.nearest(at, "frame_id", targets, "target_id").collect()}
     assert near == {1: 2, 2: 2, 3: 3}
+
+
+def test_every_unit_is_compared_with_the_one_before(spark):
+    card = lambda k, v: (k, "string", v, None)
+    rows = [(f, "r", 1, 0, [card("K", v)] + ([card("OPT", "x")] if f != 3 else [])) for f, v in ((1, "a"), (2, "b"), (3, "b"), (5, "b"))] + [(f, "r", 1, 1, [card("N", str(f % 2))]) for f in (2, 5)] + [(4, "s", 1, 0, [card("K", "z")])]
+    hdus = spark.createDataFrame(rows + rows[:3], HDUS)
+    got = {(r["b"]["hdu"], r["a"]["frame_id"], r["b"]["frame_id"], r["keyword"], r["status"]) for r in headers.differences(headers.unit_cards(hdus), headers.successive_units(hdus)).collect()}
+    assert got == {(0, 1, 2, "K", "changed"), (0, 2, 3, "OPT", "only_a"), (0, 3, 5, "OPT", "only_b"), (1, 2, 5, "N", "changed")}
