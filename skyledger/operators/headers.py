@@ -70,6 +70,64 @@ def parse_record(record: Column) -> Column:
     return F.struct(keyword.alias("keyword"), kind.alias("value_type"), F.when(is_string, inner).otherwise(bare).alias("value_text"), note.alias("note"))
 
 
+def format_records(keyword: Column, value_type: Column, text: Column, note: Column, hierarch: Column) -> Column:
+    """The 80-character records of a card: HIERARCH keys in full, long strings and commentary over several records.
+
+    A comment is cut to the last record's room, as is a number longer than a
+    record; those cards don't come back whole.
+    """
+    text, keyword = F.coalesce(text, F.lit("")), F.coalesce(keyword, F.lit(""))
+    long_key = F.coalesce(hierarch, F.lit(False)) | (F.length(keyword) > 8)
+    head = F.when(long_key, F.concat(F.lit("HIERARCH "), keyword, F.lit(" = "))).otherwise(F.concat(F.rpad(keyword, 8, " "), F.lit("= ")))
+    # a string's pieces: its characters, quotes doubled, as many as each record has room for beside quotes and &
+    start = F.struct(F.array().cast("array<string>").alias("full"), F.lit("").alias("open"))
+    room = lambda a: F.when(F.size(a["full"]) == 0, F.lit(77) - F.length(head)).otherwise(67)
+
+    def add(a: Column, ch: Column) -> Column:
+        c = F.when(ch == "'", F.lit("''")).otherwise(ch)
+        over = F.length(a["open"]) + F.length(c) > room(a)
+        return F.when(over, F.struct(F.concat(a["full"], F.array(a["open"])).alias("full"), c.alias("open"))).otherwise(F.struct(a["full"].alias("full"), F.concat(a["open"], c).alias("open")))
+
+    split = F.aggregate(F.filter(F.split(text, ""), lambda c: c != ""), start, add, lambda a: F.concat(F.transform(a["full"], lambda x: F.concat(F.lit("'"), x, F.lit("&'"))), F.array(F.concat(F.lit("'"), a["open"], F.lit("'")))))
+    doubled = F.replace(text, F.lit("'"), F.lit("''"))
+    whole = F.array(F.concat(F.lit("'"), F.when(F.length(doubled) < 8, F.rpad(doubled, 8, " ")).otherwise(doubled), F.lit("'")))
+    strings = F.when(F.length(doubled) + F.length(head) <= 78, whole).otherwise(split)
+    plain = F.when(value_type == "undefined", F.lit("")).when(~long_key & (F.length(text) < 20), F.lpad(text, 20, " ")).otherwise(text)
+    values = F.when(value_type == "string", strings).otherwise(F.array(plain))
+    lines = F.transform(values, lambda v, i: F.concat(F.when(i == 0, head).otherwise(F.lit("CONTINUE  ")), v))
+    told = F.when(F.coalesce(note, F.lit("")) != "", F.concat(F.lit(" / "), note)).otherwise("")
+    lines = F.transform(lines, lambda r, i: F.when(i == F.size(values) - 1, F.concat(r, told)).otherwise(r))
+    remarks = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.length(text) / 72).cast("int") - 1, F.lit(0))), lambda k: F.concat(F.rpad(keyword, 8, " "), F.substring(text, k * 72 + 1, F.lit(72))))
+    return F.transform(F.when(value_type == "commentary", remarks).otherwise(lines), lambda r: F.rpad(F.substring(r, 1, 80), 80, " "))
+
+
+def parse_records(records: Column) -> Column:
+    """keyword, value_type, value_text, note, hierarch of a card's records; the inverse of format_records."""
+    hier = r"^HIERARCH([^=]*)=(.*)$"
+    first = records[0]
+    long_key = first.rlike(hier)
+    # a HIERARCH value is read as that of a common card, whose record may be longer than 80
+    as_common = F.when(long_key, F.concat(F.lit("KEY     = "), F.regexp_extract(first, hier, 2))).otherwise(first)
+    parsed = F.transform(records, lambda r, i: parse_record(F.when(i == 0, as_common).otherwise(F.regexp_replace(r, "^CONTINUE  ", "CONTINUE= "))))
+    remark = ~long_key & ((F.substring(first, 9, 2) != "= ") | F.rtrim(F.substring(first, 1, 8)).isin("COMMENT", "HISTORY", ""))
+    joined = F.array_join(F.transform(parsed, lambda p, i: F.when(i < F.size(records) - 1, F.regexp_replace(p["value_text"], "&$", "")).otherwise(p["value_text"])), "")
+    remarks = F.rtrim(F.array_join(F.transform(records, lambda r: F.substring(r, 9, 72)), ""))
+    note = F.nullif(F.array_join(F.transform(parsed, lambda p: p["note"]), " "), F.lit(""))
+    return F.struct(
+        F.when(long_key, F.trim(F.regexp_extract(first, hier, 1))).otherwise(F.rtrim(F.substring(first, 1, 8))).alias("keyword"), F.when(remark, "commentary").otherwise(parsed[0]["value_type"]).alias("value_type"),
+        F.when(remark, remarks).otherwise(joined).alias("value_text"), F.when(~remark, note).alias("note"), long_key.alias("hierarch"),
+    )
+
+
+def round_trip(cards: DataFrame) -> DataFrame:
+    """cards (keyword, value_type, value_text, note, hierarch) with records, what was parsed of them, and whether all of it agrees."""
+    c = F.col
+    out = cards.withColumn("records", format_records(c("keyword"), c("value_type"), c("value_text"), c("note"), c("hierarch"))).withColumn("parsed", parse_records(c("records")))
+    text = F.coalesce(F.when(c("value_type").isin("string", "commentary"), F.rtrim("value_text")).otherwise(F.trim("value_text")), F.lit(""))
+    same = c("parsed.keyword").eqNullSafe(c("keyword")) & c("parsed.value_type").eqNullSafe(c("value_type")) & (F.coalesce("parsed.value_text", F.lit("")) == text)
+    return out.withColumn("agree", same & c("parsed.note").eqNullSafe(F.nullif(F.trim("note"), F.lit(""))) & c("parsed.hierarch").eqNullSafe(F.coalesce("hierarch", F.lit(False))))
+
+
 def spread(cards: DataFrame, keys: list[str], top: int = 8) -> DataFrame:
     """Per keyword: files with it, distinct values, class of the spread, and the `top` most common values.
 

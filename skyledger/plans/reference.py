@@ -316,6 +316,20 @@ def ref_record_round_trip(spark, sf):
     return c.groupBy("value_type").agg(F.count("*").alias("records"), F.count_if(same).alias("agree"))
 
 
+@query()
+def ref_cards_round_trip(spark, sf):
+    """All cards, written as records and read again; lost is what doesn't come back as it was. ref_record_round_trip takes only cards that must."""
+    back = headers.round_trip(read(spark, sf, "cards").distinct())
+    return back.groupBy("value_type", "hierarch").agg(F.count("*").alias("cards"), F.count_if("agree").alias("agree"), F.count_if(~F.col("agree")).alias("lost"))
+
+
+@query()
+def ref_cards_lost(spark, sf):
+    """Each card that doesn't come back from its records as it was."""
+    lost = headers.round_trip(read(spark, sf, "cards").distinct()).filter(~F.col("agree"))
+    return lost.select("frame_id", "hdu", "record", "keyword", "value_type", "value_text", "note", "hierarch", "records", "parsed")
+
+
 @query(f"""WITH c AS (SELECT DISTINCT frame_id, hdu, record, keyword FROM cards), p AS (SELECT frame_id, count(*) AS records, count(*) FILTER (keyword IN ({"'" + "', '".join(headers.PRIVATE) + "'"})) AS removed,
  array_to_string(list_sort(list(DISTINCT keyword) FILTER (keyword IN ({"'" + "', '".join(headers.PRIVATE) + "'"}))), ',') AS keywords FROM c GROUP BY 1)
 SELECT frame_id, records, removed, keywords, records - removed + 1 AS records_after, ceil((records + 1) * 80 / 2880) = ceil((records - removed + 2) * 80 / 2880) AS in_place FROM p WHERE removed > 0""")

@@ -98,3 +98,14 @@ def test_every_unit_is_compared_with_the_one_before(spark):
     hdus = spark.createDataFrame(rows + rows[:3], HDUS)
     got = {(r["b"]["hdu"], r["a"]["frame_id"], r["b"]["frame_id"], r["keyword"], r["status"]) for r in headers.differences(headers.unit_cards(hdus), headers.successive_units(hdus)).collect()}
     assert got == {(0, 1, 2, "K", "changed"), (0, 2, 3, "OPT", "only_a"), (0, 3, 5, "OPT", "only_b"), (1, 2, 5, "N", "changed")}
+
+
+def test_all_kinds_of_cards_come_back(spark):
+    long = "it's / a long & winding " * 9 + "end"
+    rows = [
+        (1, "OBJECT", "string", long, "note", False), (2, "GUIDE RMS TOTAL", "float", "0.5", "[arcsec] error", True), (3, "GUIDE RMS TOTAL", "string", long, None, True), (4, "HISTORY", "commentary", "stacked = twice", None, False),
+        (5, "AMBHUM", "unparsed", "89,6", "[%] humidity", False), (6, "NIL", "undefined", None, None, False), (7, "A", "string", "'" * 80, None, False), (8, "B", "integer", "1", "n" * 70, False), (9, "OBJECT", "string", "x&", None, False),
+    ]
+    back = headers.round_trip(spark.createDataFrame(rows, "i int, keyword string, value_type string, value_text string, note string, hierarch boolean")).collect()
+    assert {r["i"] for r in back if not r["agree"]} == {8}
+    assert all(len(x) == 80 for r in back for x in r["records"]) and {r["i"] for r in back if len(r["records"]) > 1} == {1, 3, 7}
