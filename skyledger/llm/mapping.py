@@ -46,20 +46,25 @@ def _letters(text: Column) -> Column:
     return F.regexp_replace(text, "[^a-z0-9]", "")
 
 
-def _counted(items: Column) -> Column:
-    """Tokens of a bag: the second `a` is a2, so that a set keeps how often each occurs."""
-    return F.transform(items, lambda x, i: F.concat(x, F.size(F.filter(F.slice(items, F.lit(1), i + 1), lambda y: y == x)).cast("string")))
+def _counted(text: Column) -> Column:
+    """Tokens of a text's letters: the second `a` is a2, so that a set keeps how often each occurs."""
+    letters = F.array(*[F.lit(c) for c in "abcdefghijklmnopqrstuvwxyz"])
+    often = F.transform(letters, lambda c: F.struct(c.alias("c"), (F.length(text) - F.length(F.replace(text, c, F.lit("")))).alias("n")))
+    return F.flatten(F.transform(F.filter(often, lambda x: x["n"] > 0), lambda x: F.transform(F.sequence(F.lit(1), x["n"]), lambda i: F.concat(x["c"], i.cast("string")))))
+
+
+def _pairs(word: Column) -> Column:
+    """Letter pairs of a word of two letters or more."""
+    return F.zip_with(F.slice(F.split(word, ""), F.lit(1), F.length(word) - 1), F.slice(F.split(word, ""), F.lit(2), F.length(word) - 1), lambda a, b: F.concat(a, b))
 
 
 def with_tokens(df: DataFrame, words: str, numbers: str) -> DataFrame:
-    """Adds `tokens`: letters with their counts, letter pairs inside each word, and the numbers as one token."""
+    """Adds `tokens`: letters with their counts, letter pairs inside each word, and the numbers as one token. Linear in the text's length."""
     df = df.withColumn("_w", F.filter(F.split(words, "[^a-z]+"), lambda w: w != ""))
-    df = df.withColumn("_c", F.filter(F.split(F.array_join("_w", ""), ""), lambda x: x != ""))
-    df = df.withColumn("_c", _counted(F.col("_c")))
-    pairs = F.flatten(F.transform("_w", lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.length(w) - 1, F.lit(1))), lambda i: F.substr(w, i, F.lit(2)))))
-    pairs = F.filter(pairs, lambda p: F.length(p) == 2)
+    df = df.withColumn("_c", F.array_join("_w", ""))
+    pairs = F.flatten(F.transform(F.filter("_w", lambda w: F.length(w) > 1), _pairs))
     number = F.when(F.col(numbers) != "", F.array(F.concat(F.lit("#"), F.col(numbers)))).otherwise(F.array().cast(TOKENS))
-    return df.withColumn("tokens", F.array_distinct(F.concat(F.col("_c"), pairs, number))).drop("_w", "_c")
+    return df.withColumn("tokens", F.array_distinct(F.concat(_counted(F.col("_c")), pairs, number))).drop("_w", "_c")
 
 
 def similarity_join(left: DataFrame, right: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -68,6 +73,10 @@ def similarity_join(left: DataFrame, right: DataFrame, threshold: float = 0.5) -
     left: id, tokens; right: ref, tokens; tokens are sets. Both keep their
     extra column `numbers`, which must be equal. Empty sets match nothing.
     """
+    # sets outside the other side's sizes can't reach the threshold; the sizes are one row
+    bounds = right.agg(F.min(F.size("tokens")).alias("lo"), F.max(F.size("tokens")).alias("hi")).first()
+    n = F.size("tokens")
+    left = left.filter((n >= threshold * (bounds["lo"] or 0) - EPS) & (n * threshold <= (bounds["hi"] or 0) + EPS))
     sides = left.select(F.lit(0).alias("side"), "id", "numbers", "tokens").unionByName(right.select(F.lit(1).alias("side"), F.col("ref").alias("id"), "numbers", "tokens"))
     exploded = sides.select("side", "id", "numbers", F.size("tokens").alias("size"), F.explode("tokens").alias("token"))
     rarity = exploded.groupBy("token").agg(F.count("*").alias("n"))
