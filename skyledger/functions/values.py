@@ -19,18 +19,21 @@ def bare(text: Column) -> Column:
     return F.regexp_replace(text, r"^[\s\u00a0'\"]+|[\s\u00a0'\"]+$", "")
 
 
+def _digits(text: Column) -> Column:
+    t = bare(text)
+    return F.translate(F.when(t.rlike(_NUMBER + _UNIT), F.regexp_extract(t, _NUMBER, 1)), ",Dd", ".EE")
+
+
 def number(text: Column) -> Column:
     """The one finite number a text states: decimal comma, Fortran exponent, sign and a following unit allowed; else null."""
-    t = bare(text)
-    digits = F.when(t.rlike(_NUMBER + _UNIT), F.regexp_extract(t, _NUMBER, 1))
-    v = F.translate(digits, ",Dd", ".EE").try_cast("double")
+    v = _digits(text).try_cast("double")
     return F.when(F.abs(v) < float("inf"), v)
 
 
 def whole(text: Column) -> Column:
-    """As `number`, for values without a fraction that fit a bigint."""
-    v = number(text)
-    return F.when((v == F.floor(v)) & (F.abs(v) < 9.2e18), v)
+    """As `number`, for values without a fraction that fit a bigint, exactly."""
+    v, exact = number(text), _digits(text).try_cast("decimal(38,6)")
+    return F.when((v == F.floor(v)) & (exact == F.floor(exact)), exact.try_cast("bigint"))
 
 
 def logical(text: Column) -> Column:

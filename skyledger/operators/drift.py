@@ -3,15 +3,16 @@
 Each source's files come in numbered batches. The schema of a batch is the
 tagged union of its files' schemas: every path with the types it occurs in and
 how many files carry each. Batches are fused by taking, per path, the type most
-files carry as the canonical one and keeping the others as branches; a value
-of another branch is converted where it states the canonical type, else kept
-as text. Changes against the batch before are reported per path; a path that
+files carry as the canonical one and keeping the others as typed branches; a
+value of a branch is converted where it states the canonical type. Alternatives
+that appear or go from one batch to the next are reported. Changes against the batch before are reported per path; a path that
 leaves while another with the same comment, values or meaning comes is one
 that was renamed.
 
-Scale: one aggregation over the exploded headers with map-side combining;
-everything after it works on rows per batch, path and type, that is on schema,
-and only values of paths that leave or come are compared.
+Scale: a file's schema is one hash, and files are counted by it, so that no
+header is shuffled; everything after works on rows per batch, path and type,
+that is on schema. Values are looked at only for paths that leave or come, in
+a second scan.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ FIELDS = "array<struct<path:string,type:string,text:string,note:string>>"
 
 
 def header_files(hdus: DataFrame, hdu: int | None = 0) -> DataFrame:
-    """source, batch, file, fields of each file; headers listed twice count once.
+    """source, batch, file, fields of each header; those listed twice come twice.
 
     fields are the path, type, text and note of every card; commentary cards
     and cards without a keyword are none.
@@ -40,8 +41,7 @@ def header_files(hdus: DataFrame, hdu: int | None = 0) -> DataFrame:
     kept = hdus if hdu is None else hdus.filter(F.col("hdu") == hdu)
     cards = F.filter("cards", lambda c: c["keyword"].isNotNull() & (F.coalesce(c["value_type"], F.lit("")) != "commentary"))
     fields = F.transform(cards, lambda c: F.struct(c["keyword"].alias("path"), c["value_type"].alias("type"), c["value_text"].alias("text"), c["note"].alias("note")))
-    slim = kept.select(F.col("rig").alias("source"), F.col("batch_no").alias("batch"), F.col("frame_id").cast("string").alias("file"), fields.alias("fields"))
-    return slim.groupBy("source", "batch", "file").agg(F.flatten(F.collect_set("fields")).alias("fields"))
+    return kept.select(F.col("rig").alias("source"), F.col("batch_no").alias("batch"), F.col("frame_id").cast("string").alias("file"), fields.alias("fields"))
 
 
 def _leaves(node: object, path: str, out: list) -> None:
@@ -78,7 +78,7 @@ def json_files(rules: DataFrame, source: str, batch: str, file: str, text: str)
     """As header_files, of a column of JSON objects; its files are known by `file`."""
     slim = rules.select(F.lit(source).alias("source"), F.col(batch).alias("batch"), F.col(file).alias("file"), json_leaves(F.col(text)).alias("leaves"))
     fields = F.transform("leaves", lambda c: F.struct(c["path"].alias("path"), c["type"].alias("type"), c["text"].alias("text"), F.lit(None).cast("string").alias("note")))
-    return slim.groupBy("source", "batch", "file").agg(F.flatten(F.collect_set(fields)).alias("fields"))
+    return slim.select("source", "batch", "file", F.coalesce(fields, F.array().cast(FIELDS)).alias("fields"))
 
 
 def plain_note(note: Column) -> Column:
@@ -90,29 +90,66 @@ def _plain_text(text: Column) -> Column:
     return F.coalesce(values.number(text).cast("string"), values.folded(text))
 
 
+def shapes(files: DataFrame) -> DataFrame:
+    """source, batch, shape, files: the distinct schemas of each batch and how many files have each.
+
+    A shape is the sorted array of a file's (path, type); type '*' stands for
+    the path as such, and a path that is undefined gives no other type. A file
+    listed twice counts once, with the shape of the lowest hash.
+    """
+    kinds = F.transform(F.filter("fields", lambda f: f["type"].isNotNull() & (f["type"] != UNDEFINED)), lambda f: F.struct(f["path"].alias("path"), f["type"].alias("type")))
+    paths = F.transform("fields", lambda f: F.struct(f["path"].alias("path"), F.lit("*").alias("type")))
+    shaped = files.select("source", "batch", "file", F.array_sort(F.array_union(kinds, paths)).alias("shape")).withColumn("h", F.xxhash64("shape"))
+    counted = shaped.groupBy("source", "batch", "file").agg(F.min("h").alias("h")).groupBy("source", "batch", "h").agg(F.count("*").alias("files"))
+    known = shaped.groupBy("source", "batch", "h").agg(F.first("shape").alias("shape"))
+    return counted.join(known, ["source", "batch", "h"]).select("source", "batch", "shape", "files")
+
+
 def alternatives(files: DataFrame) -> DataFrame:
     """The tagged union: source, batch, path, type, files.
 
     The row with type '*' counts the files that carry the path at all; a path
     that is undefined in a file gives that file no other row.
     """
-    kinds = F.transform(F.filter("fields", lambda f: f["type"].isNotNull() & (f["type"] != UNDEFINED)), lambda f: F.struct(f["path"].alias("path"), f["type"].alias("type")))
-    paths = F.transform("fields", lambda f: F.struct(f["path"].alias("path"), F.lit("*").alias("type")))
-    once = files.select("source", "batch", F.explode(F.array_union(kinds, paths)).alias("f"))
-    return once.groupBy("source", "batch", "f.path", "f.type").agg(F.count("*").alias("files"))
+    return _united(shapes(files))
+
+
+def _united(shaped: DataFrame) -> DataFrame:
+    return shaped.select("source", "batch", "files", F.explode("shape").alias("f")).groupBy("source", "batch", "f.path", "f.type").agg(F.sum("files").alias("files"))
 
 
-def schemas(files: DataFrame, least_share: float = 0.25) -> DataFrame:
+def _before(batches: DataFrame) -> DataFrame:
+    """source, batch, before: each batch with the one before it; a source's first has none and is left out."""
+    order = Window.partitionBy("source").orderBy("batch")
+    return batches.select("source", "batch").distinct().withColumn("before", F.lag("batch").over(order)).filter(F.col("before").isNotNull())
+
+
+def appearing(files: DataFrame) -> DataFrame:
+    """source, batch, path, type, change, files of each alternative that the batch before didn't have (appeared) or that this one hasn't (gone).
+
+    files carry the alternative where it is. The first batch has no changes.
+    """
+    shaped = cut(shapes(files))
+    united = _united(shaped).filter("type <> '*'")
+    batches = _before(shaped)
+    keys = ["source", "batch", "before", "path", "type"]
+    old = united.withColumnRenamed("batch", "before").join(batches, ["source", "before"]).select(*keys, F.col("files").alias("old_files"))
+    new = united.join(batches, ["source", "batch"]).select(*keys, F.col("files").alias("new_files"))
+    both = old.join(new, keys, "full_outer").filter("old_files IS NULL OR new_files IS NULL")
+    return both.select("source", "batch", "path", "type", F.when(F.col("old_files").isNull(), "appeared").otherwise("gone").alias("change"), F.coalesce("new_files", "old_files").alias("files"))
+
+
+def schemas(shaped: DataFrame, least_share: float = 0.25) -> DataFrame:
     """source, batch, path, type, files, of, of every path that at least `least_share` of a batch's files carry.
 
     `type` is the one most of these files carry, undefined values aside (ties:
     the first by name); null where all are undefined.
     """
     typed = F.col("type") != "*"
-    tally = alternatives(files).groupBy("source", "batch", "path").agg(
+    tally = _united(shaped).groupBy("source", "batch", "path").agg(
         F.max(F.when(~typed, F.col("files"))).alias("files"), F.min_by(F.when(typed, F.col("type")), F.when(typed, F.struct(-F.col("files"), F.col("type")))).alias("type"),
     )
-    of = files.groupBy("source", "batch").agg(F.count("*").alias("of"))
+    of = shaped.groupBy("source", "batch").agg(F.sum("files").alias("of"))
     return tally.join(of, ["source", "batch"]).filter(F.col("files") >= least_share * F.col("of")).select("source", "batch", "path", "type", "files", "of")
 
 
@@ -136,10 +173,8 @@ def changes(files: DataFrame, meaning: DataFrame | None = None, least_share: flo
     shared; not if comments or meanings contradict. The first batch has no
     changes; an empty table has none.
     """
-    files = cut(files)
-    present = cut(schemas(files, least_share))
-    order = Window.partitionBy("source").orderBy("batch")
-    batches = present.select("source", "batch").distinct().withColumn("before", F.lag("batch").over(order)).filter(F.col("before").isNotNull())
+    present = cut(schemas(cut(shapes(files)), least_share))
+    batches = _before(present)
     old = present.select("source", F.col("batch").alias("before"), "path", F.col("type").alias("old_type")).join(batches, ["source", "before"])
     new = present.join(batches, ["source", "batch"]).select("source", "batch", "before", "path", F.col("type").alias("new_type"))
     both = old.withColumn("in_old", F.lit(True)).join(new.withColumn("in_new", F.lit(True)), ["source", "batch", "before", "path"], "full_outer")
@@ -148,8 +183,9 @@ def changes(files: DataFrame, meaning: DataFrame | None = None, least_share: flo
 
     # what the paths that leave or come carried, in the batch before or in this one
     moving = found.filter(F.col("change") != "retyped").withColumn("at", F.when(F.col("change") == "removed", F.col("before")).otherwise(F.col("batch")))
-    fields = files.select("source", F.col("batch").alias("at"), F.explode("fields").alias("f")).select("source", "at", "f.*")
-    met = cut(fields.join(moving.select("source", "at", "path", "batch", "change"), ["source", "at", "path"]))
+    wanted = moving.groupBy("source", F.col("at").alias("batch")).agg(F.collect_set("path").alias("paths"))
+    fields = files.join(wanted, ["source", "batch"]).select("source", F.col("batch").alias("at"), "file", F.explode(F.filter("fields", lambda f: F.array_contains("paths", f["path"]))).alias("f"))
+    met = cut(fields.select("source", "at", "file", "f.*").distinct().join(moving.select("source", "at", "path", "batch", "change"), ["source", "at", "path"]))
     stated = F.when(F.col("type") != UNDEFINED, _plain_text(F.col("text")))
     shares = met.select("source", "batch", "path", "change", stated.alias("v")).filter(F.col("v").isNotNull()).groupBy("source", "batch", "path", "change", "v").agg(F.count("*").alias("n"))
     total = shares.groupBy("source", "batch", "path", "change").agg(F.sum("n").alias("of"))
@@ -219,8 +255,8 @@ def _canonical(events: pd.DataFrame, batches: pd.DataFrame) -> pd.DataFrame:
 _CANON = {"float": "double", "number": "double", "integer": "bigint", "logical": "boolean", "boolean": "boolean"}
 
 
-def _stated(name: str):
-    return lambda f: (f["name"] == name) & (F.coalesce(f["type"], F.lit("")) != UNDEFINED)
+def _stated(f: Column) -> Column:
+    return F.coalesce(f["type"], F.lit("")) != UNDEFINED
 
 
 def unit_files(hdus: DataFrame) -> DataFrame:
@@ -237,11 +273,12 @@ def unify(hdus: DataFrame, renames: DataFrame, documents: DataFrame | None = Non
     hdu. renames: source (`rig`, and `rig#k` for later units), batch, path,
     new_path; they hold for their source and batch only.
 
-    The column has the type most files carry. A value of another branch is
-    converted where it states that type; where it doesn't, the column is null
-    and `<column>__other` holds the value as `type:text`. Of a path stated
-    twice, by one name or several, the first counts and `<column>__more` holds
-    the others as `path=type:text`. Headers listed twice count once.
+    The column has the type most files carry. Each other type that the path
+    occurs in is a branch, a column `<column>__<type>` with the values of that
+    type; in the column itself they are converted where they state its type.
+    What can't be converted is in `<column>__other` as `type:text`. Of a path
+    stated twice, by one name or several, the first counts and `<column>__more`
+    holds the others as `path=type:text`. Headers listed twice count once.
     """
     once = hdus.dropDuplicates(["rig", "batch_no", "frame_id", "hdu"])
     cards = F.filter("cards", lambda c: c["keyword"].isNotNull() & (F.coalesce(c["value_type"], F.lit("")) != "commentary"))
@@ -259,6 +296,8 @@ def unify(hdus: DataFrame, renames: DataFrame, documents: DataFrame | None = Non
     named = F.transform("fields", lambda f: F.struct(F.coalesce(F.try_element_at(F.col("names"), f["path"]), f["path"]).alias("name"), f["path"].alias("path"), f["type"].alias("type"), f["text"].alias("text")))
     rows = cut(rows.join(names, ["source", "batch_no"], "left").withColumn("fields", F.when(F.col("names").isNull(), F.transform("fields", lambda f: F.struct(f["path"].alias("name"), f["path"].alias("path"), f["type"].alias("type"), f["text"].alias("text")))).otherwise(named)).drop("names"))
 
+    keys = ["rig", "batch_no", "file", "frame_id", "hdu"]
+    stated = rows.select(F.struct(*keys).alias("entity"), F.posexplode(F.filter("fields", _stated)).alias("pos", "f")).select("entity", "pos", "f.*")
     tally = rows.select(F.explode("fields").alias("f")).groupBy("f.name", "f.type").count().collect()
     weight: dict[str, dict[str, int]] = {}
     for r in tally:
@@ -266,18 +305,26 @@ def unify(hdus: DataFrame, renames: DataFrame, documents: DataFrame | None = Non
         if r["type"] not in (UNDEFINED, "unparsed", None):
             kind = _CANON.get(r["type"], "string")
             own[kind] = own.get(kind, 0) + r["count"]
-    stated, columns, labels = [], [], set()
-    for i, (path, kinds) in enumerate(sorted(weight.items())):
+    # one row a path and header, then one conditional aggregation a path
+    told = lambda f: F.concat(f["path"], F.lit("="), F.coalesce(f["type"], F.lit("")), F.lit(":"), F.coalesce(f["text"], F.lit("")))
+    cells = stated.groupBy("entity", F.col("name").alias("field")).agg(F.array_sort(F.collect_list(F.struct("pos", "path", "type", "text"))).alias("all"))
+    cells = cells.select("entity", "field", F.struct(F.col("all")[0]["type"].alias("type"), F.col("all")[0]["text"].alias("text"), F.when(F.size("all") > 1, F.transform(F.slice("all", F.lit(2), F.size("all")), told)).alias("more")).alias("cell"))
+    columns, labels = [], set()
+    for path, kinds in sorted(weight.items()):
         kind = max(sorted((kinds or {"string": 1}).items()), key=lambda x: x[1])[0]
-        stated.append(F.filter("fields", _stated(path)).alias(f"_{i}"))
-        card = F.try_element_at(F.col(f"_{i}"), F.lit(1))
-        text = card["text"]
-        value = {"double": values.number(text), "bigint": values.whole(text).cast("bigint"), "boolean": values.logical(text), "string": values.bare(text)}[kind]
+        cell = F.col(f"wide.`{path}`")
+        text, tag = cell["text"], cell["type"]
+        as_kind = {"double": values.number(text), "bigint": values.whole(text), "boolean": values.logical(text), "string": values.bare(text)}
         label = "".join(ch.lower() if ch.isalnum() else "_" for ch in path)
-        while label in labels | {"rig", "batch_no", "file", "frame_id", "hdu"}:
+        while label in labels | set(keys):
             label += "_"
         labels.add(label)
-        more = F.transform(F.slice(F.col(f"_{i}"), 2, 1_000_000), lambda f: F.concat(f["path"], F.lit("="), F.coalesce(f["type"], F.lit("")), F.lit(":"), F.coalesce(f["text"], F.lit(""))))
-        columns += [value.alias(label), F.when(value.isNull() & text.isNotNull(), F.concat(F.coalesce(card["type"], F.lit("")), F.lit(":"), text)).alias(f"{label}__other"), F.when(F.size(more) > 0, more).alias(f"{label}__more")]
-    keys = ["rig", "batch_no", "file", "frame_id", "hdu"]
-    return rows.select(*keys, *stated).select(*keys, *columns)
+        of_kind = lambda k: tag.isin([t for t, c in _CANON.items() if c == k]) if k != "string" else ~tag.isin(list(_CANON))  # noqa: B023, E731
+        columns.append(as_kind[kind].alias(label))
+        columns += [F.when(of_kind(k), as_kind[k]).alias(f"{label}__{k}") for k in sorted(kinds) if k != kind]
+        columns += [F.when(as_kind[kind].isNull() & text.isNotNull(), F.concat(F.coalesce(tag, F.lit("")), F.lit(":"), text)).alias(f"{label}__other"), cell["more"].alias(f"{label}__more")]
+    wide = cells.groupBy("entity").agg(*[F.first(F.when(F.col("field") == path, F.col("cell")), ignorenulls=True).alias(path) for path in sorted(weight)])
+    # a header without a stated card is a row too
+    empty = rows.filter(~F.exists("fields", _stated)).select(F.struct(*keys).alias("entity"))
+    wide = wide.unionByName(empty, allowMissingColumns=True).alias("wide")
+    return wide.select(*[F.col("wide.entity")[k].alias(k) for k in keys], *columns)
