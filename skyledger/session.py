@@ -29,14 +29,16 @@ def local_session(cores: int = 8, shuffle_partitions: int = 8, **conf: str) -> S
 def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names in spark.checkpoint.dir, shared by all executors.
 
-    Only where none is set (tests, a notebook on one machine) a temporary one
-    is chosen.
+    Only where none is set and the session is local (tests, a notebook on one
+    machine) a temporary one is chosen; a cluster without one is an error.
     """
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir")
     if named:
         return named
     if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not (sc.master or "").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
@@ -49,5 +51,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over as many partitions as there are cores, if it has fewer: for rows that cost much more to work on than to send."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{table}.parquet")
