@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skyledger.llm.tokens import TOKENIZER, n_tokens
-from skyledger.session import cut
+from skyledger.session import cut, spread
 
 BUCKETS = 65_536
 
@@ -138,7 +138,7 @@ def mix(documents: DataFrame, targets: DataFrame, total: int | None = None, most
     kept = documents.filter(F.col("source").isin(list(wanted)) & F.col("text").isNotNull() & (F.col("text") != ""))
     known = F.lit(0) if size is None else F.coalesce(F.col(size).cast("bigint"), F.lit(0))
     keyed = kept.select("doc_id", "source", F.sha2("text", 256).alias("key"), "text", known.alias("_size"))
-    sized = cut(keyed.select("key", "source", "doc_id", counted(F.col("text")).alias("tokens")))
+    sized = cut(spread(keyed).select("key", "source", "doc_id", counted(F.col("text")).alias("tokens")))
     texts = sized.groupBy("key").agg(F.max("tokens").alias("tokens"), F.array_sort(F.collect_set("source")).alias("group"))
     texts = cut(texts.withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed), "key"), F.lit(BUCKETS))))
     histogram = cut(texts.groupBy("group", "bucket").agg(F.sum("tokens").alias("tokens")))

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skyledger.llm.tokens import TOKENIZER, n_tokens
-from skyledger.session import cut
+from skyledger.session import cut, spread
 
 _PLACED = "shard bigint, item bigint, doc_id bigint, piece int, first_token bigint, tokens bigint, slot bigint"
 
@@ -74,7 +74,7 @@ def pack_texts(documents: DataFrame, capacity: int = 2048, linear: float = 1.0,
     """
     tokens = n_tokens(F.col("text"), tokenizer) if size is None else F.coalesce(F.col(size).cast("bigint"), F.lit(0))
     # each row gets its number once, after which nothing is worked out again: copies of a text and texts without a doc_id stay apart
-    sized = documents.select("doc_id", tokens.alias("size")).withColumn("item", F.monotonically_increasing_id())
+    sized = spread(documents.select("doc_id", "text" if size is None else size)).select("doc_id", tokens.alias("size")).withColumn("item", F.monotonically_increasing_id())
     sized = cut(sized).filter(F.col("size") > 0)
     pieces = F.ceil(F.col("size") / capacity).cast("int")
     cutup = sized.select("item", "doc_id", "size", F.explode(F.sequence(F.lit(0), pieces - 1)).alias("piece"))
