@@ -95,7 +95,8 @@ def _date_steps(df: DataFrame, families: list[tuple[str, str]], date_order: str
     df = df.withColumn("_days", F.filter("_days", lambda x: x["day"].isNotNull()))
     # 05/05/2024 reads the same in either order
     same = (F.size("_days") == 2) & (F.try_element_at("_days", F.lit(1))["day"] == F.try_element_at("_days", F.lit(2))["day"])
-    return df.withColumn("_days", F.when(same, F.slice("_days", 1, 1)).otherwise(F.col("_days")))
+    either = F.array(F.struct(F.lit("any").alias("kind"), F.try_element_at("_days", F.lit(1))["day"].alias("day")))
+    return df.withColumn("_days", F.when(same, either).otherwise(F.col("_days")))
 
 
 def with_date_readings(df: DataFrame, text: str, date_order: str | None = None, into: str = "readings") -> DataFrame:

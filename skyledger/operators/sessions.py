@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from skyledger.session import cut
+
 _FIELDS = "key string, start bigint, end bigint, first_id bigint, last_id bigint, n bigint, edge boolean"
 _SCHEMA = pa.schema([("key", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("first_id", pa.int64()), ("last_id", pa.int64()), ("n", pa.int64()), ("edge", pa.bool_())])
 
@@ -62,7 +64,8 @@ def sessionise(df: DataFrame, key: str, at: str, item: str, gap_seconds: int = 3
     """
     slim = df.select(F.col(key).cast("string").alias("key"), F.col(at).cast("bigint").alias("at"), F.col(item).cast("bigint").alias("id")).filter(F.col("key").isNotNull() & F.col("at").isNotNull())
     ordered = slim.distinct().repartitionByRange("key", "at", "id").sortWithinPartitions("key", "at", "id")
-    pieces = ordered.mapInArrow(_scan(gap_seconds * 1_000_000), _FIELDS)
+    # read twice below, which must see the same pieces
+    pieces = cut(ordered.mapInArrow(_scan(gap_seconds * 1_000_000), _FIELDS))
     w = Window.partitionBy("key").orderBy("start", "end", "first_id")
     apart = F.coalesce(F.col("start") - F.lag("end").over(w) > gap_seconds * 1_000_000, F.lit(True))
     edges = pieces.filter("edge").withColumn("part", F.sum(apart.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))

@@ -8,8 +8,8 @@ out) is held against the source's usual scatter, a robust scale over all its
 readings. A counter of equal readings in a row and the physical limits catch
 the rest.
 
-Scale: a source's readings are charted in chunks of bounded size with an
-overlap in which an exponential weight dies away, so a hot source is many
+Scale: a source's readings are charted in chunks of bounded size, cut by
+number of readings, with an overlap in which an exponential weight dies away, so a hot source is many
 tasks; its scatter is a mergeable quantile sketch.
 """
 
@@ -22,7 +22,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyledger.session import cut
+from skyledger.operators import order
+from skyledger.session import cut, if_small
 
 
 @dataclass(frozen=True)
@@ -102,19 +103,18 @@ def _residuals(by_measure: dict[str, Limits]):
 def chunked(readings: DataFrame, chunk_rows: int) -> DataFrame:
     """Each reading in its chunk (`own` true) and, near a border, a copy in the chunk beside it.
 
-    A source of up to two chunks' rows stays whole. Longer ones are cut by
-    record number into chunks of about `chunk_rows`, with a sixteenth of a
-    chunk in common on either side.
+    A source is cut into chunks of about `chunk_rows` readings, with a
+    sixteenth of a chunk or more in common on either side.
     """
-    spans = readings.groupBy("source").agg(F.count("*").alias("_n"), F.min("item").alias("_lo"), F.max("item").alias("_hi"))
-    width = F.when(F.col("_n") > 2 * chunk_rows, F.ceil((F.col("_hi") - F.col("_lo") + 1) * chunk_rows / F.col("_n"))).otherwise(F.col("_hi") - F.col("_lo") + 1)
-    cutup = readings.join(spans.select("source", F.col("_lo"), width.cast("bigint").alias("_w")), "source")
-    at, edge = F.col("item") - F.col("_lo"), F.ceil(F.col("_w") / 16)
-    here = F.floor(at / F.col("_w"))
-    near = F.when(F.pmod(at, F.col("_w")) < edge, here - 1).when(F.pmod(at, F.col("_w")) >= F.col("_w") - edge, here + 1)
-    chunks = F.array_compact(F.array(here, near))
-    out = cutup.withColumn("_here", here).withColumn("chunk", F.explode(chunks)).withColumn("own", F.col("chunk") == F.col("_here"))
-    return out.drop("_lo", "_w", "_here")
+    # edges are told by bucket, which is a sixteenth of a chunk at most
+    placed = cut(order.blocks(readings, "source", "item", chunk_rows))
+    last = placed.groupBy("source").agg(F.max("block").alias("last"))
+    edge = chunk_rows // 16
+    before = F.when((F.col("start") < edge) & (F.col("block") > 0), F.col("block") - 1)
+    after = F.when((F.col("start") + F.col("n") >= chunk_rows - edge) & (F.col("block") < F.col("last")), F.col("block") + 1)
+    chunks = placed.join(last, "source").select("source", "bucket", F.col("block").alias("_here"), F.array_compact(F.array("block", before, after)).alias("chunks"))
+    cutup = readings.withColumn("bucket", order.bucket("item", chunk_rows)).join(if_small(cut(chunks)), ["source", "bucket"])
+    return cutup.withColumn("chunk", F.explode("chunks")).withColumn("own", F.col("chunk") == F.col("_here")).drop("bucket", "chunks", "_here")
 
 
 def faults(readings: DataFrame, limits: dict[str, Limits], usual: tuple[str, ...] = (), chunk_rows: int = 20_000) -> DataFrame:
@@ -137,7 +137,7 @@ def faults(readings: DataFrame, limits: dict[str, Limits], usual: tuple[str, ...
         possible = F.when(F.col("measure") == name, ((v > x.low) if x.low_open else (v >= x.low)) & (v <= x.high)).otherwise(possible)
     slim = readings.filter(F.col("measure").isin(list(limits)) & F.col("source").isNotNull() & F.col("item").isNotNull() & F.col("v").isNotNull() & ~F.isnan(v))
     slim = slim.select(F.concat_ws("|", "measure", "source").alias("source"), "measure", F.col("item").cast("bigint"), F.col("at").cast("bigint"), v.alias("v"), possible.alias("possible"))
-    charted = cut(chunked(slim, chunk_rows).groupBy("source", "chunk").applyInPandas(_residuals(limits), "source string, measure string, item bigint, v double, possible boolean, stuck boolean, off double"))
+    charted = cut(chunked(cut(slim), chunk_rows).groupBy("source", "chunk").applyInPandas(_residuals(limits), "source string, measure string, item bigint, v double, possible boolean, stuck boolean, off double"))
     good = F.col("possible") & ~F.col("stuck")
     if usual:
         level = charted.filter(good & F.col("measure").isin(list(usual))).groupBy("source").agg(F.percentile_approx("v", 0.5, 10_000).alias("usual"))

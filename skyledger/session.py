@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: int = 8, shuffle_partitions: int = 8, **conf: str) -> SparkSession:
@@ -51,6 +52,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def if_small(df: DataFrame, most_rows: int = 200_000) -> DataFrame:
+    """df marked for broadcast if it has at most `most_rows` rows, else as it is; df should be cut, as it is counted."""
+    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df over as many partitions as there are cores, if it has fewer: for rows that cost much more to work on than to send."""
     cores = df.sparkSession.sparkContext.defaultParallelism
