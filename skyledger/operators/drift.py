@@ -9,10 +9,10 @@ that appear or go from one batch to the next are reported. Changes against the b
 leaves while another with the same comment, values or meaning comes is one
 that was renamed.
 
-Scale: a file's schema is one hash, and files are counted by it, so that no
-header is shuffled; everything after works on rows per batch, path and type,
-that is on schema. Values are looked at only for paths that leave or come, in
-a second scan.
+Scale: one aggregation over the exploded headers with map-side combining, and
+no header is shuffled: a file listed k times counts 1/k each time. Everything
+after works on rows per batch, path and type, that is on schema. Values are
+looked at only for paths that leave or come, in a second scan.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skyledger.functions import values
-from skyledger.session import cut
+from skyledger.session import cut, if_small
 
 UNDEFINED = "undefined"
 
@@ -90,32 +90,31 @@ def _plain_text(text: Column) -> Column:
     return F.coalesce(values.number(text).cast("string"), values.folded(text))
 
 
-def shapes(files: DataFrame) -> DataFrame:
-    """source, batch, shape, files: the distinct schemas of each batch and how many files have each.
+_TAG = "\x01"
 
-    A shape is the sorted array of a file's (path, type); type '*' stands for
-    the path as such, and a path that is undefined gives no other type. A file
-    listed twice counts once, with the shape of the lowest hash.
-    """
-    kinds = F.transform(F.filter("fields", lambda f: f["type"].isNotNull() & (f["type"] != UNDEFINED)), lambda f: F.struct(f["path"].alias("path"), f["type"].alias("type")))
-    paths = F.transform("fields", lambda f: F.struct(f["path"].alias("path"), F.lit("*").alias("type")))
-    shaped = files.select("source", "batch", "file", F.array_sort(F.array_union(kinds, paths)).alias("shape")).withColumn("h", F.xxhash64("shape"))
-    counted = shaped.groupBy("source", "batch", "file").agg(F.min("h").alias("h")).groupBy("source", "batch", "h").agg(F.count("*").alias("files"))
-    known = shaped.groupBy("source", "batch", "h").agg(F.first("shape").alias("shape"))
-    return counted.join(known, ["source", "batch", "h"]).select("source", "batch", "shape", "files")
+
+def _weighted(files: DataFrame) -> DataFrame:
+    """files with `weight`: 1, or 1/k of a file listed k times."""
+    listed = cut(files.groupBy("source", "batch", "file").agg(F.count("*").alias("_k")).filter("_k > 1"))
+    keys = ["source", "batch", "file"]
+    met = files.join(if_small(listed), [files[k].eqNullSafe(listed[k]) for k in keys], "left")
+    return met.select(*[files[k] for k in keys], files["fields"], (1 / F.coalesce("_k", F.lit(1))).alias("weight"))
 
 
 def alternatives(files: DataFrame) -> DataFrame:
     """The tagged union: source, batch, path, type, files.
 
     The row with type '*' counts the files that carry the path at all; a path
-    that is undefined in a file gives that file no other row.
+    that is undefined in a file gives that file no other row. The row with
+    null path and type '*' counts all files of the batch. Of a file listed with
+    different headers each counts in part; sums are rounded.
     """
-    return _united(shapes(files))
-
-
-def _united(shaped: DataFrame) -> DataFrame:
-    return shaped.select("source", "batch", "files", F.explode("shape").alias("f")).groupBy("source", "batch", "f.path", "f.type").agg(F.sum("files").alias("files"))
+    typed = F.filter("fields", lambda f: f["type"].isNotNull() & (f["type"] != UNDEFINED))
+    # as text, since distinct arrays of text are found by hashing
+    tags = F.array_distinct(F.concat(F.transform(typed, lambda f: F.concat(f["path"], F.lit(_TAG), f["type"])), F.transform("fields", lambda f: F.concat(f["path"], F.lit(_TAG), F.lit("*")))))
+    tags = F.concat(tags, F.array(F.lit(None).cast("string")))
+    counted = _weighted(files).select("source", "batch", "weight", F.explode(tags).alias("tag")).groupBy("source", "batch", "tag").agg(F.round(F.sum("weight")).cast("bigint").alias("files"))
+    return counted.select("source", "batch", F.split_part("tag", F.lit(_TAG), F.lit(1)).alias("path"), F.coalesce(F.split_part("tag", F.lit(_TAG), F.lit(2)), F.lit("*")).alias("type"), "files")
 
 
 def _before(batches: DataFrame) -> DataFrame:
@@ -129,9 +128,8 @@ def appearing(files: DataFrame) -> DataFrame:
 
     files carry the alternative where it is. The first batch has no changes.
     """
-    shaped = cut(shapes(files))
-    united = _united(shaped).filter("type <> '*'")
-    batches = _before(shaped)
+    every = cut(alternatives(files))
+    united, batches = every.filter("type <> '*'"), _before(every)
     keys = ["source", "batch", "before", "path", "type"]
     old = united.withColumnRenamed("batch", "before").join(batches, ["source", "before"]).select(*keys, F.col("files").alias("old_files"))
     new = united.join(batches, ["source", "batch"]).select(*keys, F.col("files").alias("new_files"))
@@ -139,17 +137,18 @@ def appearing(files: DataFrame) -> DataFrame:
     return both.select("source", "batch", "path", "type", F.when(F.col("old_files").isNull(), "appeared").otherwise("gone").alias("change"), F.coalesce("new_files", "old_files").alias("files"))
 
 
-def schemas(shaped: DataFrame, least_share: float = 0.25) -> DataFrame:
+def schemas(united: DataFrame, least_share: float = 0.25) -> DataFrame:
     """source, batch, path, type, files, of, of every path that at least `least_share` of a batch's files carry.
 
-    `type` is the one most of these files carry, undefined values aside (ties:
-    the first by name); null where all are undefined.
+    united: as `alternatives` gives it. `type` is the one most of these files
+    carry, undefined values aside (ties: the first by name); null where all are
+    undefined.
     """
     typed = F.col("type") != "*"
-    tally = _united(shaped).groupBy("source", "batch", "path").agg(
+    tally = united.filter("path IS NOT NULL").groupBy("source", "batch", "path").agg(
         F.max(F.when(~typed, F.col("files"))).alias("files"), F.min_by(F.when(typed, F.col("type")), F.when(typed, F.struct(-F.col("files"), F.col("type")))).alias("type"),
     )
-    of = shaped.groupBy("source", "batch").agg(F.sum("files").alias("of"))
+    of = united.filter("path IS NULL").select("source", "batch", F.col("files").alias("of"))
     return tally.join(of, ["source", "batch"]).filter(F.col("files") >= least_share * F.col("of")).select("source", "batch", "path", "type", "files", "of")
 
 
@@ -173,7 +172,7 @@ def changes(files: DataFrame, meaning: DataFrame | None = None, least_share: flo
     shared; not if comments or meanings contradict. The first batch has no
     changes; an empty table has none.
     """
-    present = cut(schemas(cut(shapes(files)), least_share))
+    present = cut(schemas(cut(alternatives(files)), least_share))
     batches = _before(present)
     old = present.select("source", F.col("batch").alias("before"), "path", F.col("type").alias("old_type")).join(batches, ["source", "before"])
     new = present.join(batches, ["source", "batch"]).select("source", "batch", "before", "path", F.col("type").alias("new_type"))
@@ -183,8 +182,8 @@ def changes(files: DataFrame, meaning: DataFrame | None = None, least_share: flo
 
     # what the paths that leave or come carried, in the batch before or in this one
     moving = found.filter(F.col("change") != "retyped").withColumn("at", F.when(F.col("change") == "removed", F.col("before")).otherwise(F.col("batch")))
-    wanted = moving.groupBy("source", F.col("at").alias("batch")).agg(F.collect_set("path").alias("paths"))
-    fields = files.join(wanted, ["source", "batch"]).select("source", F.col("batch").alias("at"), "file", F.explode(F.filter("fields", lambda f: F.array_contains("paths", f["path"]))).alias("f"))
+    wanted = cut(moving.groupBy("source", F.col("at").alias("batch")).agg(F.collect_set("path").alias("paths")))
+    fields = files.join(if_small(wanted), ["source", "batch"]).select("source", F.col("batch").alias("at"), "file", F.explode(F.filter("fields", lambda f: F.array_contains("paths", f["path"]))).alias("f"))
     met = cut(fields.select("source", "at", "file", "f.*").distinct().join(moving.select("source", "at", "path", "batch", "change"), ["source", "at", "path"]))
     stated = F.when(F.col("type") != UNDEFINED, _plain_text(F.col("text")))
     shares = met.select("source", "batch", "path", "change", stated.alias("v")).filter(F.col("v").isNotNull()).groupBy("source", "batch", "path", "change", "v").agg(F.count("*").alias("n"))
