@@ -36,6 +36,12 @@ def whole(text: Column) -> Column:
     return F.when((v == F.floor(v)) & (exact == F.floor(exact)), exact.try_cast("bigint"))
 
 
+def plain_number(text: Column) -> Column:
+    """A number that is all of a text, blanks aside, in the usual notation; else null."""
+    t = F.trim(text)
+    return F.when(t.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"), t.try_cast("double"))
+
+
 def logical(text: Column) -> Column:
     t = F.lower(bare(text))
     return F.when(t.isin(TRUE), True).when(t.isin(FALSE), False)

@@ -11,10 +11,9 @@ KINDS = ("light", "dark", "flat", "bias", "dark_flat")
 
 
 def kind_of_text(text: Column) -> Column:
-    """The kind a frame-type value or a name prefix names; dark-flat before dark and flat, offset and zero are bias."""
+    """The kind a frame-type value or a name prefix names; dark-flat before dark and flat, offset is bias, and so is zero as the whole text."""
     t = F.regexp_replace(F.lower(text), "[-_ ]", "")
-    has = lambda *words: F.lit(False) if not words else t.rlike("|".join(words))
-    return F.when(has("darkflat", "flatdark"), "dark_flat").when(has("bias", "offset", "zero"), "bias").when(has("dark"), "dark").when(has("flat"), "flat").when(has("light", "object", "science"), "light")
+    return F.when(t.rlike("darkflat|flatdark"), "dark_flat").when(t.rlike("bias|offset") | (t == "zero"), "bias").when(t.contains("dark"), "dark").when(t.contains("flat"), "flat").when(t.rlike("light|object|science"), "light")
 
 
 def classify(files: DataFrame) -> DataFrame:
@@ -124,7 +123,7 @@ def verdicts(files: DataFrame, cards: DataFrame, units: DataFrame) -> DataFrame:
         supports = F.lit(supports) if isinstance(supports, str) else supports
         return F.when(yes(condition), F.struct(text.alias("text"), supports.alias("supports"), F.lit(weight).alias("weight")))
 
-    by_key, by_name = _exact_kind(c("frame_type.text")), _exact_kind(c("prefix"))
+    by_key, by_name = kind_of_text(c("frame_type.text")), kind_of_text(c("prefix"))
     named = F.concat(F.lit("file name starts '"), c("prefix"), F.lit("'"))
     equals = lambda key, value: F.concat(key, F.lit("="), value.cast("string"))
     votes = F.array_compact(F.array(
@@ -170,9 +169,3 @@ def verdicts(files: DataFrame, cards: DataFrame, units: DataFrame) -> DataFrame:
         F.when(kind == "unknown", 0).otherwise(F.least(_curve(c("score")), _curve(c("integ")))).alias("confidence"), once.cast(f"array<{_EVIDENCE}>").alias("evidence"), "processing", "processed",
         F.when(F.exists("processing", lambda s: s["name"] == "stretch"), False).alias("linear"),
     )
-
-
-def _exact_kind(text: Column) -> Column:
-    """As kind_of_text, but zero is bias only where it is the whole text."""
-    t = F.regexp_replace(F.lower(text), "[-_ ]", "")
-    return F.when(t.rlike("darkflat|flatdark"), "dark_flat").when(t.rlike("bias|offset") | (t == "zero"), "bias").when(t.contains("dark"), "dark").when(t.contains("flat"), "flat").when(t.rlike("light|object|science"), "light")

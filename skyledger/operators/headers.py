@@ -5,11 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Keywords that describe a file's structure, not its content.
-STRUCTURAL = ["SIMPLE", "XTENSION", "BITPIX", "NAXIS", "EXTEND", "PCOUNT", "GCOUNT", "BZERO", "BSCALE", "TFIELDS", "EXTNAME", "CHECKSUM", "DATASUM", "END"]
+# Keywords whose values aren't compared between files, since they describe the layout or are commentary.
+STRUCTURAL = [
+    "SIMPLE", "XTENSION", "BITPIX", "NAXIS", "EXTEND", "PCOUNT", "GCOUNT", "BZERO", "BSCALE", "CHECKSUM",
+    "DATASUM", "END", "COMMENT", "HISTORY", "", "ZIMAGE", "ZBITPIX", "ZCMPTYPE", "TFIELDS",
+]
 STRUCTURAL_INDEXED = r"^(NAXIS|ZNAXIS|ZTILE|ZNAME|ZVAL|TTYPE|TFORM)\d+$"
-# Keywords that tell where a site is or whose it is.
-PRIVATE = ["SITELAT", "SITELONG", "LATITUDE", "LONGITUD", "OBSERVER", "OBSGEO-B", "OBSGEO-L", "OBSGEO-H", "SITENAME", "ALTITUDE", "CAMID", "SERIAL"]
+# Keywords that tell where a site is, whose it is, or which unit of a device was used.
+PRIVATE = [
+    "SITELAT", "SITELONG", "SITEELEV", "OBSLAT", "OBSLONG", "OBSALT", "LAT-OBS", "LONG-OBS", "ALT-OBS", "OBSGEO-B", "OBSGEO-L", "OBSGEO-H", "OBSGEO-X",
+    "OBSGEO-Y", "OBSGEO-Z", "LATITUDE", "LONGITUD", "ALTITUDE", "OBSERVER", "AUTHOR", "OBSERVAT", "SITENAME", "CAMERAID", "SERIALNB", "SERIALNO", "CAMSERNO",
+]
 
 _STRING = r"^'((?:[^']|'')*)'"
 
@@ -171,13 +177,13 @@ def differences(cards: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def scrub_plan(cards: DataFrame, keywords: list[str] = PRIVATE) -> DataFrame:
-    """Per file the private keywords to be removed, how many records remain with one more line of history, and whether they fit the same blocks."""
+    """Per header unit the private keywords to be removed, how many records remain with one more line of history, and whether they fit the same blocks."""
     private = F.col("keyword").isin(keywords)
     named = F.array_join(F.sort_array(F.collect_set(F.when(private, F.col("keyword")))), ",")
-    per = cards.groupBy("frame_id").agg(F.count("*").alias("records"), F.count_if(private).alias("removed"), named.alias("keywords"))
+    per = cards.groupBy("frame_id", "hdu").agg(F.count("*").alias("records"), F.count_if(private).alias("removed"), named.alias("keywords"))
     blocks = lambda n: F.ceil((n + 1) * 80 / 2880)
     after = F.col("records") - F.col("removed") + 1
-    return per.filter("removed > 0").select("frame_id", "records", "removed", "keywords", after.alias("records_after"), (blocks(F.col("records")) == blocks(after)).alias("in_place"))
+    return per.filter("removed > 0").select("frame_id", "hdu", "records", "removed", "keywords", after.alias("records_after"), (blocks(F.col("records")) == blocks(after)).alias("in_place"))
 
 
 def edit_plan(cards: DataFrame, ops: DataFrame) -> DataFrame:
