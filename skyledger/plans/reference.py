@@ -305,7 +305,7 @@ def ref_duplicate_keywords(spark, sf):
 
 
 @query("""WITH c AS (SELECT DISTINCT * FROM cards), k AS (SELECT *, value_type = 'string' AS str, CASE WHEN hierarch OR length(keyword) > 8 THEN 'HIERARCH ' || keyword || ' = ' ELSE rpad(keyword, 8, ' ') || '= ' END AS head, coalesce(value_text, '') AS t FROM c),
-l AS (SELECT *, CASE WHEN value_type = 'commentary' THEN greatest(ceil(length(t) / 72), 1) WHEN str AND length(replace(t, , '')) + length(head) > 78 THEN NULL ELSE 1 END AS n FROM k)
+l AS (SELECT *, CASE WHEN value_type = 'commentary' THEN greatest(ceil(length(t) / 72), 1) WHEN str AND length(replace(t, '''', '''''')) + length(head) > 78 THEN NULL ELSE 1 END AS n FROM k)
 SELECT value_type, count(*) AS cards, CAST(sum(n) AS BIGINT) AS records, count(*) FILTER (n IS NULL) AS split FROM l GROUP BY 1""")
 def ref_record_round_trip(spark, sf):
     """All cards written as records: how many cards and records of each type, and how many long strings are split over CONTINUE records."""
