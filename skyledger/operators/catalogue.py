@@ -31,17 +31,32 @@ def lookup(names: DataFrame, name: str, catalogue: DataFrame, ref: str, labels:
     return names.withColumn("plain", plain_name(F.col(name))).join(keys, "plain", "left").drop("plain")
 
 
+def _cells(ra: str, dec: str, radius: float, around: bool):
+    """Cells of declination and, inside a band, of right ascension, each at least as wide as the radius; with `around` all that a circle can touch.
+
+    The width in right ascension is that of the band's edge farther from the
+    equator, widened for the bands beside it; near a pole a band is one cell.
+    """
+    band = F.floor(F.col(dec) / radius)
+
+    def cell(k):
+        edge = F.least(F.greatest(F.abs(k), F.abs(k + 1)) * radius + radius, F.lit(90.0))
+        n = F.greatest(F.floor(360.0 * F.cos(F.radians(edge)) / radius), F.lit(1))
+        at = F.floor(F.pmod(F.col(ra), F.lit(360.0)) / 360.0 * n)
+        beside = F.array_distinct(F.array(*[F.pmod(at + i, n) for i in (-1, 0, 1)])) if around else F.array(at)
+        return F.transform(beside, lambda x: F.struct(k.alias("band"), x.alias("sector")))
+
+    return F.flatten(F.array(*[cell(band + i) for i in ((-1, 0, 1) if around else (0,))]))
+
+
 def neighbours(positions: DataFrame, ref: str, radius_deg: float) -> DataFrame:
     """For each position the nearest other one within the radius: ref, near, degrees (to 6 places).
 
-    Candidates come from bands of declination as wide as the radius: a
-    position is compared with those of its own and both adjoining bands only,
-    and there only within the radius in declination.
+    A position is compared with those of the cells that its circle can touch.
     """
-    band = F.floor(F.col("dec_deg") / radius_deg)
-    a = positions.select(F.col(ref), F.col("ra_deg").alias("ra1"), F.col("dec_deg").alias("dec1"), F.explode(F.array(band - 1, band, band + 1)).alias("band"))
-    b = positions.select(F.col(ref).alias("near"), F.col("ra_deg").alias("ra2"), F.col("dec_deg").alias("dec2"), band.alias("band"))
-    pairs = a.join(b, "band").filter((F.col(ref) != F.col("near")) & (F.abs(F.col("dec1") - F.col("dec2")) <= radius_deg))
+    a = positions.select(F.col(ref), F.col("ra_deg").alias("ra1"), F.col("dec_deg").alias("dec1")).withColumn("cell", F.explode(_cells("ra1", "dec1", radius_deg, True)))
+    b = positions.select(F.col(ref).alias("near"), F.col("ra_deg").alias("ra2"), F.col("dec_deg").alias("dec2")).withColumn("cell", F.explode(_cells("ra2", "dec2", radius_deg, False)))
+    pairs = a.join(b, "cell").filter((F.col(ref) != F.col("near")) & (F.abs(F.col("dec1") - F.col("dec2")) <= radius_deg))
     d = pairs.withColumn("degrees", F.round(astro.separation(F.col("ra1"), F.col("dec1"), F.col("ra2"), F.col("dec2")), 6)).filter(F.col("degrees") <= radius_deg)
     return d.groupBy(ref).agg(F.min_by(F.struct("near", "degrees"), F.struct("degrees", "near")).alias("x")).select(ref, "x.near", "x.degrees")
 
@@ -76,11 +91,10 @@ def nearest(positions: DataFrame, key: str, entries: DataFrame, ref: str, radius
 
     positions: key, ra_deg, dec_deg; entries: ref, ra_deg, dec_deg, size_arcmin.
     The distance less size / 120 decides, ties go to the lower ref. A position
-    meets the entries of its own and both adjoining bands of declination only.
+    meets the entries of the cells that its circle can touch.
     """
-    band = F.floor(F.col("dec_deg") / radius_deg)
-    a = positions.select(key, F.col("ra_deg").alias("ra1"), F.col("dec_deg").alias("dec1"), F.explode(F.array(band - 1, band, band + 1)).alias("band"))
-    b = entries.select(ref, F.col("ra_deg").alias("ra2"), F.col("dec_deg").alias("dec2"), F.coalesce(F.col("size_arcmin") / 120, F.lit(0.0)).alias("less"), band.alias("band"))
-    d = a.join(b, "band").withColumn("degrees", astro.separation(F.col("ra1"), F.col("dec1"), F.col("ra2"), F.col("dec2"))).filter(F.col("degrees") <= radius_deg)
+    a = positions.select(key, F.col("ra_deg").alias("ra1"), F.col("dec_deg").alias("dec1")).withColumn("cell", F.explode(_cells("ra1", "dec1", radius_deg, True)))
+    b = entries.select(ref, F.col("ra_deg").alias("ra2"), F.col("dec_deg").alias("dec2"), F.coalesce(F.col("size_arcmin") / 120, F.lit(0.0)).alias("less")).withColumn("cell", F.explode(_cells("ra2", "dec2", radius_deg, False)))
+    d = a.join(b, "cell").withColumn("degrees", astro.separation(F.col("ra1"), F.col("dec1"), F.col("ra2"), F.col("dec2"))).filter(F.col("degrees") <= radius_deg)
     best = d.groupBy(key).agg(F.min_by(F.struct(ref, F.round("degrees", 6).alias("degrees")), F.struct((F.col("degrees") - F.col("less")).alias("score"), F.col(ref).alias("ref"))).alias("x"))
     return best.select(key, f"x.{ref}", "x.degrees")

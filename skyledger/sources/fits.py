@@ -1,13 +1,17 @@
 """FITS files as tables: listings, header cards, image planes.
 
-Files are listed by Spark; tasks then read only the header blocks of their
-files, skipping data by seeking. Records are cut, parsed, joined over CONTINUE
+Files are listed by Spark; tasks then open them through the file system of
+their address (local, HDFS, S3 and others that Arrow knows) and read only the
+header blocks, skipping data by seeking. Records are cut, parsed, joined over CONTINUE
 and checked by native expressions (operators.headers).
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from urllib.parse import unquote
+
+import re
 
 import numpy as np
 import pandas as pd
@@ -28,12 +32,19 @@ def list_files(spark: SparkSession, folder: str, recursive: bool = True) -> Data
     Spark lists no files of zero bytes.
     """
     found = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(folder).select("path", F.col("length").alias("file_bytes"))
-    inside = F.regexp_replace(F.col("path"), "^.*" + folder.rstrip("/").replace(".", r"\."), "")
+    # what of the path lies inside the folder, which may be given with or without its file system
+    inside = F.substring_index("path", re.sub("^[a-z0-9]+:/*", "/", folder.rstrip("/")), -1)
     return found.filter(F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).isin("fit", "fits", "fts", "fz") & ~inside.rlike(r"/\.[^/]*"))
 
 
-def _local(path: str) -> str:
-    return path[5:].replace("///", "/", 1) if path.startswith("file:") else path
+def _open(path: str):
+    """The file at an address, for reading at any place."""
+    from pyarrow import fs
+
+    if path.startswith("file:"):
+        return fs.LocalFileSystem().open_input_file(unquote("/" + path[5:].lstrip("/")))
+    system, at = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+    return system.open_input_file(at)
 
 
 def _number(header: str, key: str, default: int = 0) -> int:
@@ -46,12 +57,32 @@ def _number(header: str, key: str, default: int = 0) -> int:
     return default
 
 
+def resolve(spark: SparkSession, inputs: list[str], roots: list[str] | None = None, most: int = 10_000) -> DataFrame:
+    """As list_files, of files and folders (of those the files inside, not below), each once, sorted by path.
+
+    roots: where set, folders that every input must lie in. More than `most`
+    files is an error, not a shorter list.
+    """
+    for given in inputs:
+        parts = re.sub("^[a-z0-9]+:/*", "/", given).split("/")
+        if roots is not None and (".." in parts or not any(f"{given.rstrip('/')}/".startswith(f"{r.rstrip('/')}/") for r in roots)):
+            raise ValueError(f"{given} is in none of the allowed folders")
+    found = None
+    for given in inputs:
+        one = list_files(spark, given, recursive=False)
+        found = one if found is None else found.unionByName(one)
+    found = found.dropDuplicates(["path"])
+    if found.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} files")
+    return found.orderBy("path")
+
+
 def _walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """The header text and the place of the data of each unit, one block at a time."""
     for files in batches:
         rows = []
         for path, size in zip(files["path"], files["file_bytes"]):
-            with open(_local(path), "rb") as f:
+            with _open(path) as f:
                 at, hdu = 0, 0
                 while at < size:
                     f.seek(at)
@@ -82,6 +113,53 @@ def hdus(files: DataFrame) -> DataFrame:
     return files.select("path", "file_bytes").mapInPandas(_walk, _HEADERS)
 
 
+def layout_issues(units: DataFrame, cards_of: DataFrame) -> DataFrame:
+    """path, hdu, code, what of the structural faults of each unit: those met while reading, required keywords that lack, keywords given twice, sizes that are no whole blocks."""
+    met = units.filter("issue IS NOT NULL").select("path", "hdu", F.col("issue").alias("code"), F.lit("").alias("what"))
+    required = F.when(F.col("hdu") == 0, F.array(*map(F.lit, ["SIMPLE", "BITPIX", "NAXIS"]))).otherwise(F.array(*map(F.lit, ["XTENSION", "BITPIX", "NAXIS", "PCOUNT", "GCOUNT"])))
+    have = cards_of.filter(F.coalesce("value_type", F.lit("")) != "commentary").groupBy("path", "hdu").agg(F.collect_set("keyword").alias("have"))
+    lacking = units.filter("header <> ''").select("path", "hdu").join(have, ["path", "hdu"], "left").select("path", "hdu", F.explode(F.array_except(required, F.coalesce("have", F.array().cast("array<string>")))).alias("what"))
+    twice = cards_of.filter((F.coalesce("value_type", F.lit("")) != "commentary") & ~F.col("keyword").isin("", "COMMENT", "HISTORY")).groupBy("path", "hdu", F.col("keyword").alias("what")).count().filter("count > 1")
+    odd = units.groupBy("path").agg(F.max("file_bytes").alias("n")).filter(F.col("n") % BLOCK != 0).select("path", F.lit(0).alias("hdu"), F.lit("size_not_block_multiple").alias("code"), F.lit("").alias("what"))
+    parts = [met, lacking.select("path", "hdu", F.lit("missing_required").alias("code"), "what"), twice.select("path", "hdu", F.lit("duplicate_keyword").alias("code"), "what"), odd]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def listing(spark: SparkSession, folder: str, rules: list = (), recursive: bool = True) -> DataFrame:
+    """A folder as the table that folder questions are asked of: one row a file, facts from its header and name, verdict, scale and night."""
+    from skyledger.operators import canonical, classify
+    from skyledger.session import cut
+
+    units = cut(hdus(list_files(spark, folder, recursive)))
+    own = cards(units).withColumnRenamed("path", "frame_id")
+    shape = _shape(cards(units))
+    heads = canonical.headers_of(own, shape)
+    names = units.groupBy("path").agg(F.max("file_bytes").alias("bytes"), F.max(F.when(F.col("hdu") == 0, F.col("issue"))).alias("error"))
+    image = shape.filter(F.size("shape") > 0).groupBy("frame_id").agg(F.min_by(F.struct("shape", "bitpix"), "hdu").alias("x"))
+    files = names.select(F.col("path").alias("frame_id"), "path", F.regexp_replace("path", r"^.*[/\\]", "").alias("name"), "bytes", "error").join(image, "frame_id", "left")
+    files = files.withColumns({"size": F.slice("x.shape", 1, 2), "planes": F.when(F.size("x.shape") > 2, F.get("x.shape", F.lit(2))).otherwise(1)}).drop("x")
+    facts = canonical.facts(files.select("frame_id", "name", "planes"), heads, list(rules))
+    told = facts.select("frame_id", F.col("exposure_s.value").alias("exposure_s"), F.col("stack_count.value").alias("stack_count"), F.col("object.value").alias("object")).join(files.select("frame_id", "name"), "frame_id")
+    verdicts = classify.verdicts(told, own.select("frame_id", "hdu", "record", "keyword", "value_type", "value_text"), shape)
+    return canonical.entries(facts, files.drop("planes"), verdicts)
+
+
+def _shape(cards_of: DataFrame) -> DataFrame:
+    """frame_id, hdu, kind, bitpix, shape of each unit, from its own or, of a compressed image, the image's keywords."""
+    number = F.col("value_text").try_cast("bigint")
+    of = lambda key: F.min_by(number, F.when(F.col("keyword") == key, F.col("record")))
+    compressed = F.max(F.coalesce((F.col("keyword") == "ZIMAGE") & (F.trim("value_text") == "T"), F.lit(False)))
+    table = F.max(F.coalesce((F.col("keyword") == "XTENSION") & F.col("value_text").contains("BINTABLE"), F.lit(False)))
+    axes = lambda p: F.transform(F.array_sort(F.collect_list(F.when(F.col("keyword").rlike(f"^{p}[0-9]+$"), F.struct(F.regexp_extract("keyword", "([0-9]+)$", 1).cast("int").alias("i"), number.alias("n"))))), lambda x: x["n"])
+    g = cards_of.groupBy(F.col("path").alias("frame_id"), "hdu").agg(compressed.alias("z"), table.alias("t"), of("BITPIX").alias("bits"), of("ZBITPIX").alias("zbits"), axes("NAXIS").alias("axes"), axes("ZNAXIS").alias("zaxes"))
+    kind = F.when(F.col("z"), "compressed_image").when(F.col("t"), "bin_table").when(F.col("hdu") == 0, "primary").otherwise("image")
+    shape = F.when(F.col("z"), F.col("zaxes")).when(~F.col("t"), F.col("axes")).otherwise(F.array().cast("array<bigint>"))
+    return g.select("frame_id", "hdu", kind.alias("kind"), F.when(F.col("z"), F.col("zbits")).otherwise(F.col("bits")).alias("bitpix"), shape.alias("shape"))
+
+
 def cards(units: DataFrame) -> DataFrame:
     """path, hdu, record, keyword, value_type, value_text, note of every card before END; CONTINUE lines are joined on."""
     n = F.floor(F.length("header") / CARD).cast("int")
@@ -116,7 +194,7 @@ def planes(units: DataFrame) -> DataFrame:
                     continue
                 scale, zero = _float(r.header, "BSCALE", 1.0), _float(r.header, "BZERO", 0.0)
                 w, h = axes[:2]
-                with open(_local(r.path), "rb") as f:
+                with _open(r.path) as f:
                     for plane in range(int(np.prod(axes[2:]))):
                         f.seek(r.data_offset + plane * w * h * abs(bits) // 8)
                         raw = np.frombuffer(f.read(w * h * abs(bits) // 8), dtype=TYPES[bits]).astype(np.float64)
