@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skyledger.operators import order
+
 #: Names of missing keys.
 NO_OBJECT, NO_FILTER, NO_NIGHT = "(no OBJECT)", "(no filter)", "(unknown)"
 
@@ -126,8 +128,26 @@ def upper_median(df: DataFrame, keys: list[str], value: Column, name: str) -> Da
 MEASURES = ("hfr", "stars", "background", "eccentricity")
 
 
-def grading_limits(subs: DataFrame, keys: list[str], k: float = 3.0) -> DataFrame:
-    """Per group the medians and the limits a sub is judged by: median and k robust scatters, within bounds of the median.
+def parse_rules(text: str) -> dict[str, float | bool]:
+    """hfr_max, stars_min, background_max, eccentricity_max and trails of `hfr>3.5, stars<50, bg>900, ecc>0.6, trails`; anything else is an error."""
+    names = {("hfr", ">"): "hfr_max", ("stars", "<"): "stars_min", ("bg", ">"): "background_max", ("background", ">"): "background_max", ("ecc", ">"): "eccentricity_max", ("eccentricity", ">"): "eccentricity_max"}
+    out: dict[str, float | bool] = {}
+    for part in filter(None, (p.strip() for p in text.split(","))):
+        if part in ("trails", "satellite"):
+            out["trails"] = True
+            continue
+        sign = next((s for s in "<>" if s in part), None)
+        if sign is None:
+            raise ValueError(f"{part!r}: expected a rule such as hfr>3.5 or stars<50")
+        key, value = (x.strip() for x in part.split(sign, 1))
+        if (key, sign) not in names:
+            raise ValueError(f"{part!r}: use hfr>, stars<, bg> or ecc>")
+        out[names[key, sign]] = float(value)
+    return out
+
+
+def grading_limits(subs: DataFrame, keys: list[str], k: float = 3.0, rules: dict[str, float | bool] | None = None) -> DataFrame:
+    """Per group the medians and the limits a sub is judged by: median and k robust scatters, within bounds of the median; `rules` go before them.
 
     The four measures go through both medians together, as rows.
     """
@@ -140,16 +160,22 @@ def grading_limits(subs: DataFrame, keys: list[str], k: float = 3.0) -> DataFram
     out = subs.groupBy(*keys).agg(F.count("*").alias("subs")).join(wide, keys, "left")
     m = lambda n: F.col(f"median_{n}")
     s = lambda n: 1.4826 * F.col(f"mad_{n}")
+    told = {n: F.lit(float(v)) for n, v in (rules or {}).items() if n != "trails"}
     return out.select(
         *keys, "subs", m("hfr"), m("stars"), m("background"), m("eccentricity"),
         F.greatest(m("hfr") + k * s("hfr"), m("hfr") * 1.25).alias("hfr_max"), F.greatest(m("stars") - k * s("stars"), m("stars") * 0.5).alias("stars_min"),
         F.greatest(m("background") + k * s("background"), m("background") * 1.5).alias("background_max"),
         F.least(F.greatest(m("eccentricity") + k * s("eccentricity"), m("eccentricity") + 0.2), F.lit(0.95)).alias("eccentricity_max"),
-    )
+    ).withColumns(told)
 
 
-def judge(subs: DataFrame, limits: DataFrame, keys: list[str]) -> DataFrame:
-    """Each sub with its reasons and badness under its group's limits; limits are few and joined on the group."""
+def judge(subs: DataFrame, limits: DataFrame, keys: list[str], reject_trails: bool = False) -> DataFrame:
+    """Each sub with its reasons and badness under its group's limits; limits are few and joined on the group.
+
+    A sub without stars and background couldn't be read: that is its reason,
+    and its badness is 10. A trail (column `trail`, where there is one) is a
+    reason that rejects only with `reject_trails`.
+    """
     d = lambda n: F.col(n).cast("double")
     no = lambda c: F.coalesce(c, F.lit(False))
     j = subs.join(limits.select(*keys, "hfr_max", "stars_min", "background_max", "eccentricity_max"), keys)
@@ -161,8 +187,22 @@ def judge(subs: DataFrame, limits: DataFrame, keys: list[str]) -> DataFrame:
     )
     ratio = lambda a, b: F.coalesce(F.when(b > 0, a / b), F.lit(0.0))
     worst = F.greatest(ratio(d("hfr"), F.col("hfr_max")), ratio(F.col("stars_min"), d("stars") + 0.5), ratio(d("background"), F.col("background_max")), ratio(d("eccentricity"), F.col("eccentricity_max")), F.lit(0.0))
-    return j.select("frame_id", *keys, reasons.alias("reasons"), F.round(worst, 6).alias("badness"), (reasons != "").alias("reject"))
-
+    unread = F.col("stars").isNull() & F.col("background").isNull()
+    trail = no(F.col("trail")) if "trail" in subs.columns else F.lit(False)
+    told = F.when(unread, "unreadable").otherwise(F.concat_ws(",", F.nullif(reasons, F.lit("")), F.when(trail, "satellite")))
+    reject = unread | (reasons != "") | (trail & F.lit(reject_trails))
+    return j.select("frame_id", *keys, told.alias("reasons"), F.when(unread, 10.0).otherwise(F.round(worst, 6)).alias("badness"), reject.alias("reject"))
+
+
+def grading_totals(graded: DataFrame, subs: DataFrame) -> DataFrame:
+    """One row: kept and rejected subs, those with a trail, captured and usable milliseconds, and the median HFR."""
+    own = subs.select("frame_id", milliseconds("exposure_s").alias("_ms"), F.col("hfr").cast("double").alias("_hfr"))
+    g = graded.select("frame_id", "reject", "reasons").join(own, "frame_id")
+    middle = upper_median(g.withColumn("_all", F.lit(0)), ["_all"], F.col("_hfr"), "median_hfr").first()
+    return g.agg(
+        F.count_if(~F.col("reject")).alias("kept"), F.count_if("reject").alias("rejected"), F.count_if(F.col("reasons").contains("satellite")).alias("trails"), F.coalesce(F.sum("_ms"), F.lit(0)).alias("captured_ms"),
+        F.coalesce(F.sum(F.when(~F.col("reject"), F.col("_ms"))), F.lit(0)).alias("usable_ms"), F.lit(middle["median_hfr"] if middle else None).cast("double").alias("median_hfr"),
+    )
 
 def worst(graded: DataFrame, k: int = 20) -> DataFrame:
     """The k worst subs; ties by file."""
@@ -170,13 +210,13 @@ def worst(graded: DataFrame, k: int = 20) -> DataFrame:
 
 
 def in_capture_order(frames: DataFrame, folder: Column) -> DataFrame:
-    """Each file with its place in its folder, by written time (nulls first) and path.
+    """Each file with its place in its folder, by written time (nulls first), path and number.
 
-    The order is total, so places are counted per folder in one sort of that
-    folder; folders are bounded by what a capture program writes into one.
+    Places come from a sort over all partitions, so a folder may hold any
+    number of files.
     """
-    w = Window.partitionBy("folder").orderBy(F.col("date_obs").asc_nulls_first(), "path", "frame_id")
-    return frames.withColumn("folder", folder).withColumn("place", F.row_number().over(w)).select("folder", "frame_id", "place")
+    at = F.struct(F.col("date_obs").isNotNull().alias("dated"), F.coalesce("date_obs", F.lit("")).alias("at"), "path", "frame_id")
+    return order.numbered(frames.select(folder.alias("folder"), "frame_id", at.alias("_at")), ["folder"], ["_at"], "place").select("folder", "frame_id", "place")
 
 
 def calibration_sets(frames: DataFrame) -> DataFrame:

@@ -138,7 +138,7 @@ def spread(cards: DataFrame, keys: list[str], top: int = 8) -> DataFrame:
     """Per keyword: files with it, distinct values, class of the spread, and the `top` most common values.
 
     same: one value; unique: hardly a value twice; range: numbers, more than
-    six; else mixed. Structural keywords are left out. Undefined values count
+    six; else mixed. least and greatest are those of numbers. Structural keywords are left out. Undefined values count
     as empty text. The top list is a report; distinct and class see all values.
     """
     content = cards.filter(~F.col("keyword").isin(STRUCTURAL) & ~F.col("keyword").rlike(STRUCTURAL_INDEXED) & (F.col("value_type") != "commentary"))
@@ -147,9 +147,11 @@ def spread(cards: DataFrame, keys: list[str], top: int = 8) -> DataFrame:
     w = Window.partitionBy(*keys, "keyword").orderBy(F.desc("n"), "text")
     ranked = tally.withColumn("rank", F.row_number().over(w) - 1)
     shown = F.concat_ws("; ", F.transform(F.array_sort(F.collect_list(F.when(F.col("rank") < top, F.struct("rank", "text", "n")))), lambda x: F.concat(x["text"], F.lit(" x "), x["n"].cast("string"))))
-    out = ranked.groupBy(*keys, "keyword").agg(F.sum("n").alias("present"), F.count("*").alias("distinct_n"), F.min("numeric").alias("numeric"), shown.alias("values"))
+    number = F.when(F.col("numeric"), F.translate("text", "Dd", "EE").try_cast("double"))
+    out = ranked.groupBy(*keys, "keyword").agg(F.min(number).alias("least"), F.max(number).alias("greatest"), F.sum("n").alias("present"), F.count("*").alias("distinct_n"), F.min("numeric").alias("numeric"), shown.alias("values"))
     kind = F.when(F.col("distinct_n") == 1, "same").when((F.col("distinct_n") * 10 >= F.col("present") * 9) & (F.col("present") > 3), "unique").when(F.col("numeric") & (F.col("distinct_n") > 6), "range").otherwise("mixed")
-    return out.select(*keys, "keyword", "present", "distinct_n", kind.alias("spread"), "values")
+    span = [F.when(F.col("numeric"), F.col(c)).alias(c) for c in ("least", "greatest")]
+    return out.select(*keys, "keyword", "present", "distinct_n", kind.alias("spread"), "values", *span)
 
 
 def first_values_with_record(cards: DataFrame, keys: list[str]) -> DataFrame:

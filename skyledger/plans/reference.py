@@ -130,10 +130,10 @@ def ref_grading_limits(spark, sf):
 
 _JUDGED = f"""{_LIMITS}, q AS (SELECT j.*, hfr_max, stars_min, background_max, eccentricity_max, coalesce(stars < stars_min, false) AS few, coalesce(background > background_max, false) AS bright, coalesce(hfr > hfr_max, false) AS soft,
  coalesce(eccentricity > eccentricity_max, false) AS long, coalesce(sun_altitude > -18, false) AS twilight, coalesce(altitude < 35, false) AS low FROM j JOIN t USING (object, filter_name, ms)),
-w AS (SELECT frame_id, object, filter_name, ms, concat_ws(',', CASE WHEN bright AND (twilight OR NOT few) THEN 'dawn' END, CASE WHEN few AND NOT (bright AND twilight) THEN CASE WHEN low THEN 'low_altitude' ELSE 'clouds' END END,
- CASE WHEN long THEN 'trailing' END, CASE WHEN soft AND NOT few AND NOT long THEN 'soft' END) AS reasons,
- round(greatest(coalesce(CASE WHEN hfr_max > 0 THEN hfr / hfr_max END, 0), coalesce(CASE WHEN stars + 0.5 > 0 THEN stars_min / (stars + 0.5) END, 0), coalesce(CASE WHEN background_max > 0 THEN background / background_max END, 0),
- coalesce(CASE WHEN eccentricity_max > 0 THEN eccentricity / eccentricity_max END, 0), 0), 6) AS badness FROM q)"""
+w AS (SELECT frame_id, object, filter_name, ms, CASE WHEN stars IS NULL AND background IS NULL THEN 'unreadable' ELSE concat_ws(',', CASE WHEN bright AND (twilight OR NOT few) THEN 'dawn' END, CASE WHEN few AND NOT (bright AND twilight) THEN CASE WHEN low THEN 'low_altitude' ELSE 'clouds' END END,
+ CASE WHEN long THEN 'trailing' END, CASE WHEN soft AND NOT few AND NOT long THEN 'soft' END) END AS reasons,
+ CASE WHEN stars IS NULL AND background IS NULL THEN 10 ELSE round(greatest(coalesce(CASE WHEN hfr_max > 0 THEN hfr / hfr_max END, 0), coalesce(CASE WHEN stars + 0.5 > 0 THEN stars_min / (stars + 0.5) END, 0), coalesce(CASE WHEN background_max > 0 THEN background / background_max END, 0),
+ coalesce(CASE WHEN eccentricity_max > 0 THEN eccentricity / eccentricity_max END, 0), 0), 6) END AS badness FROM q)"""
 
 
 @query(f"WITH {_JUDGED} SELECT *, reasons <> '' AS reject FROM w")
@@ -243,8 +243,8 @@ _SQL_LAYOUT = "regexp_full_match(keyword, 'SIMPLE|XTENSION|BITPIX|Z?NAXIS[0-9]*|
 @query(f"""WITH {_CARDS}, f AS (SELECT rig, keyword, frame_id, arg_min(row(value_type, value_text), record) AS v FROM k WHERE value_type <> 'commentary' AND NOT ({_SQL_LAYOUT}) GROUP BY ALL),
 g AS (SELECT rig, keyword, CASE WHEN v[1] = 'undefined' THEN '' ELSE coalesce(v[2], '') END AS text, v[1] IN ('integer', 'float') AS numeric FROM f), t AS (SELECT rig, keyword, text, count(*) AS n, bool_or(numeric) AS numeric FROM g GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY rig, keyword ORDER BY n DESC, text) - 1 AS rk FROM t),
-s AS (SELECT rig, keyword, CAST(sum(n) AS BIGINT) AS present, count(*) AS distinct_n, bool_and(numeric) AS numeric, string_agg(text || ' x ' || n, '; ' ORDER BY rk) FILTER (rk < 8) AS "values" FROM r GROUP BY 1, 2)
-SELECT rig, keyword, present, distinct_n, CASE WHEN distinct_n = 1 THEN 'same' WHEN distinct_n * 10 >= present * 9 AND present > 3 THEN 'unique' WHEN numeric AND distinct_n > 6 THEN 'range' ELSE 'mixed' END AS spread, "values" FROM s""")
+s AS (SELECT rig, keyword, CAST(sum(n) AS BIGINT) AS present, count(*) AS distinct_n, bool_and(numeric) AS numeric, string_agg(text || ' x ' || n, '; ' ORDER BY rk) FILTER (rk < 8) AS "values", min(TRY_CAST(replace(replace(text, 'D', 'E'), 'd', 'E') AS DOUBLE)) FILTER (numeric) AS lo, max(TRY_CAST(replace(replace(text, 'D', 'E'), 'd', 'E') AS DOUBLE)) FILTER (numeric) AS hi FROM r GROUP BY 1, 2)
+SELECT rig, keyword, present, distinct_n, CASE WHEN distinct_n = 1 THEN 'same' WHEN distinct_n * 10 >= present * 9 AND present > 3 THEN 'unique' WHEN numeric AND distinct_n > 6 THEN 'range' ELSE 'mixed' END AS spread, "values", CASE WHEN numeric THEN lo END AS least, CASE WHEN numeric THEN hi END AS greatest FROM s""")
 def ref_keyword_spread(spark, sf):
     return headers.spread(headers.exploded(read(spark, sf, "hdus")), ["rig"])
 
