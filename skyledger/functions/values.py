@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Spellings of the two logical values.
@@ -36,6 +36,21 @@ def whole(text: Column) -> Column:
     return F.when((v == F.floor(v)) & (exact == F.floor(exact)), exact.try_cast("bigint"))
 
 
+def with_readings(df: DataFrame, text: str) -> DataFrame:
+    """df with _bare, _num and _int: what `bare`, `number` and `whole` make of a column, each worked out once in a projection of its own."""
+    df = df.withColumn("_bare", bare(F.col(text)))
+    df = df.withColumn("_digits", F.translate(F.when(F.col("_bare").rlike(_NUMBER + _UNIT), F.regexp_extract("_bare", _NUMBER, 1)), ",Dd", ".EE"))
+    v, exact = F.col("_digits").try_cast("double"), F.col("_digits").try_cast("decimal(38,6)")
+    df = df.withColumn("_num", F.when(F.abs(v) < float("inf"), v)).withColumn("_exact", exact)
+    return df.withColumn("_int", F.when((F.col("_num") == F.floor("_num")) & (F.col("_exact") == F.floor("_exact")), F.col("_exact").try_cast("bigint"))).drop("_digits", "_exact")
+
+
+def of_bare(bare_text: Column) -> Column:
+    """As `logical`, of a text without outer quotes and blanks."""
+    t = F.lower(bare_text)
+    return F.when(t.isin(TRUE), True).when(t.isin(FALSE), False)
+
+
 def plain_number(text: Column) -> Column:
     """A number that is all of a text, blanks aside, in the usual notation; else null."""
     t = F.trim(text)

@@ -32,13 +32,11 @@ def discover(rows: DataFrame, attribute: str = "keyword", text: str = "value_tex
     attribute's own name. Attributes without a stated value are strings. n
     counts the stated values.
     """
-    t = F.col(text)
-    stated = t.isNotNull() & (values.bare(t) != "")
-    parts = rows.filter(F.col(attribute).isNotNull()).groupBy(F.col(attribute).alias("keyword")).agg(
-        F.count_if(stated).alias("n"),
-        F.count_if(stated & values.logical(t).isNotNull() & ~values.bare(t).isin("0", "1")).alias("as_boolean"),
-        F.count_if(stated & values.whole(t).isNotNull()).alias("as_bigint"),
-        F.count_if(stated & values.number(t).isNotNull()).alias("as_double"),
+    read = values.with_readings(rows.filter(F.col(attribute).isNotNull()).select(F.col(attribute).alias("keyword"), F.col(text).alias("_text")), "_text")
+    stated = F.coalesce(F.col("_bare") != "", F.lit(False))
+    parts = read.groupBy("keyword").agg(
+        F.count_if(stated).alias("n"), F.count_if(stated & values.of_bare(F.col("_bare")).isNotNull() & ~F.col("_bare").isin("0", "1")).alias("as_boolean"),
+        F.count_if(stated & F.col("_int").isNotNull()).alias("as_bigint"), F.count_if(stated & F.col("_num").isNotNull()).alias("as_double"),
     )
     kind = F.lit("string")
     for name in ("double", "bigint", "boolean"):
@@ -90,16 +88,15 @@ def typed(rows: DataFrame, dictionary: DataFrame, entity: str = "frame_id", orde
     order = order or ["hdu", "record"]
     known = dictionary.select("keyword", "field", "field_type", F.coalesce("unit_factor", F.lit(1.0)).alias("unit_factor")).distinct()
     slim = rows.filter(F.col(entity).isNotNull()).select(F.col(entity).alias("entity"), *order, "keyword", "value_type", "value_text")
-    t, kind, factor = F.col("value_text"), F.col("field_type"), F.col("unit_factor")
-    stated = ~F.coalesce(F.col("value_type"), F.lit("")).isin("undefined", "commentary") & t.isNotNull() & (values.bare(t) != "")
-    met = slim.filter(stated).join(known, "keyword").select("entity", "field", "field_type", "unit_factor", "keyword", F.struct(*order, "keyword").alias("ord"), t.alias("text"))
-    t, exact = F.col("text"), values.whole(F.col("text"))
-    met = met.withColumns({
-        "num": F.when(kind == "double", values.number(t) * factor), "int": F.when(kind == "bigint", F.when(factor == 1, exact).otherwise(F.round(exact * factor).cast("bigint"))),
-        "flag": F.when(kind == "boolean", values.logical(t)), "str": F.when(kind == "string", values.bare(t)),
-    })
+    kind, factor = F.col("field_type"), F.col("unit_factor")
+    told = ~F.coalesce(F.col("value_type"), F.lit("")).isin("undefined", "commentary") & F.col("value_text").isNotNull()
+    met = values.with_readings(slim.filter(told).join(known, "keyword"), "value_text").filter("_bare <> ''")
+    met = met.select(
+        "entity", "field", "field_type", "keyword", F.struct(*order, "keyword").alias("ord"), F.col("value_text").alias("text"), F.when(kind == "double", F.col("_num") * factor).alias("num"),
+        F.when(kind == "bigint", F.when(factor == 1, F.col("_int")).otherwise(F.round(F.col("_int") * factor).cast("bigint"))).alias("int"), F.when(kind == "boolean", values.of_bare(F.col("_bare"))).alias("flag"), F.when(kind == "string", F.col("_bare")).alias("str"),
+    )
     readable = F.coalesce("num", "int").isNotNull() | F.col("flag").isNotNull() | F.col("str").isNotNull()
-    return met.withColumn("readable", readable).drop("unit_factor")
+    return met.withColumn("readable", readable)
 
 
 def resolve(cells: DataFrame, tolerance: float = 1e-3) -> DataFrame:
