@@ -57,8 +57,8 @@ def facts(name: Column) -> Column:
     exposure. After a prefix of stacks the next number is the frames.
     """
     tokens = F.filter(F.split(stem(name), "[_ ]"), lambda t: t != "")
-    # each token in small letters, the one after it, and the number it states
-    paired = F.transform(tokens, lambda t, i: F.struct(F.lower(t).alias("t"), t.alias("raw"), F.get(tokens, i + 1).alias("next")))
+    # each token in small letters and the one after it
+    paired = lambda ts: F.transform(ts, lambda t, i: F.struct(F.lower(t).alias("t"), F.get(ts, i + 1).alias("next")))
     get = lambda t, pattern, k: F.regexp_extract(t, pattern, k)
     num = lambda t, pattern, k=1: get(t, pattern, k).try_cast("double")
     dwarf, plain, milli, times = rf"^{_N}s(\d+)$", rf"^{_N}s$", rf"^{_N}ms$", rf"^(\d+)x{_N}s$"
@@ -74,7 +74,7 @@ def facts(name: Column) -> Column:
             F.when(t.rlike(rf"^{_N}c$") & (t.contains(".") | t.startswith("-")), num(t, rf"^{_N}c$")).alias("temp_c"),
         )
 
-    known = F.transform(paired, kind)
+    known = F.transform(F.transform(F.array(tokens), paired)[0], kind)
     first = lambda k, what: F.get(F.filter(F.transform(k, lambda x: x[what]), lambda v: v.isNotNull()), F.lit(0))
     last = lambda k, what: F.get(F.reverse(F.filter(F.transform(k, lambda x: x[what]), lambda v: v.isNotNull())), F.lit(0))
     begin = prefix(name)

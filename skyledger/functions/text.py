@@ -150,25 +150,26 @@ def sexagesimal(text: Column) -> Column:
     body = F.regexp_replace(F.trim(text), r"^[+-]+", "")
     parts = F.filter(F.split(body, r"[\s:hmsd°′″'\"]+"), lambda p: p != "")
     numbers = F.transform(parts, lambda p: F.when(p.rlike(r"^[0-9]*\.?[0-9]*([eE][+-]?[0-9]+)?$"), p.try_cast("double")))
-    size = F.aggregate(F.zip_with(numbers, F.array(F.lit(1.0), F.lit(60.0), F.lit(3600.0)), lambda a, d: F.coalesce(a / d, F.lit(0.0))), F.lit(0.0), lambda s, x: s + x)
-    good = F.size(parts).between(1, 3) & ~F.exists(numbers, lambda n: n.isNull())
-    return F.when(good, F.when(F.trim(text).startswith("-"), -size).otherwise(size))
+
+    def size(n: Column) -> Column:
+        total = F.aggregate(F.zip_with(n, F.array(F.lit(1.0), F.lit(60.0), F.lit(3600.0)), lambda a, d: F.coalesce(a / d, F.lit(0.0))), F.lit(0.0), lambda s, x: s + x)
+        return F.when(F.size(n).between(1, 3) & ~F.exists(n, lambda x: x.isNull()), total * F.when(F.trim(text).startswith("-"), -1.0).otherwise(1.0))
+
+    return once(numbers, size)
 
 
 def parse_ra(text: Column) -> Column:
     """Degrees of a right ascension: numbers are degrees, other forms hours."""
-    plain, hours = values.plain_number(text), sexagesimal(text)
-    return F.when(plain.isNotNull(), F.when((plain >= 0) & (plain < 360), plain)).when((hours >= 0) & (hours < 24), hours * 15)
+    hours = once(sexagesimal(text), lambda h: F.when((h >= 0) & (h < 24), h * 15))
+    return once(values.plain_number(text), lambda v: F.when(v.isNotNull(), F.when((v >= 0) & (v < 360), v)).otherwise(hours))
 
 
 def parse_dec(text: Column) -> Column:
-    v = F.coalesce(values.plain_number(text), sexagesimal(text))
-    return F.when(v.between(-90, 90), v)
+    return once(F.coalesce(values.plain_number(text), sexagesimal(text)), lambda v: F.when(v.between(-90, 90), v))
 
 
 def parse_lon(text: Column) -> Column:
-    v = F.coalesce(values.plain_number(text), sexagesimal(text))
-    return F.when(v.between(-180, 360), v)
+    return once(F.coalesce(values.plain_number(text), sexagesimal(text)), lambda v: F.when(v.between(-180, 360), v))
 
 
 def stem_ext(path: Column) -> tuple[Column, Column]:

@@ -168,6 +168,10 @@ def _fact(value: Column, source: Column | str) -> Column:
     return F.struct(value.alias("value"), (F.lit(source) if isinstance(source, str) else source).alias("source"))
 
 
+def _stated(value: Column, source: str) -> Column:
+    return text.once(value, lambda v: F.when(v.isNotNull(), _fact(v, source)))
+
+
 class _Reader:
     """Expressions over vals, tags (what rules hold for a file) and scope."""
 
@@ -242,28 +246,27 @@ def _position(r: _Reader, keys: tuple[str, str], axis: str, n: int, parse, low:
     solved = F.when(F.trim(r.raw(f"CTYPE{n}")).startswith(axis), r.raw(f"CRVAL{n}", "num"))
     tried.append((solved, f"CRVAL{n}"))
     own = r.number(name)
-    return F.coalesce(*[F.when(v.isNotNull(), _fact(v, k)) for v, k in tried], F.when(within(own["value"]).isNotNull(), own))
+    return F.coalesce(*[_stated(v, k) for v, k in tried], F.when(within(own["value"]).isNotNull(), own))
 
 
-def _date(r: _Reader) -> Column:
-    """The date of observation; where it has no time of day and another keyword has, or it isn't written so, as YYYY-MM-DDTHH:MM:SS.mmm."""
-    d = r.string("date_obs")
+def _with_date(df: DataFrame, r: _Reader) -> DataFrame:
+    """Adds date_obs: as written; where it has no time of day and another keyword has, or it isn't written so, as YYYY-MM-DDTHH:MM:SS.mmm.
 
-    def use(f: Column) -> Column:
-        p = text_datetime(f["value"])
-        has_time = f["value"].rlike("[T :]")
-        clock = r"^\s*(\d{1,2}):(\d{1,2})(?::(\d+(?:\.\d*)?))?\s*$"
-        tod = F.coalesce(*[F.when(r.raw(k).rlike(clock), F.struct(F.lit(k).alias("k"), r.raw(k).alias("v"))) for k in ("TIME-OBS", "UT", "UTSTART", "UT-START")])
-        tod = F.when(~has_time, tod)
-        hour = F.coalesce(F.regexp_extract(tod["v"], clock, 1).try_cast("int"), p["hour"])
-        minute = F.coalesce(F.regexp_extract(tod["v"], clock, 2).try_cast("int"), p["minute"])
-        second = F.when(tod.isNotNull(), F.coalesce(F.nullif(F.regexp_extract(tod["v"], clock, 3), F.lit("")).try_cast("double"), F.lit(0.0))).otherwise(p["second"])
-        two = lambda n: F.lpad(n.cast("string"), 2, "0")
-        iso = F.concat(F.lpad(p["year"].cast("string"), 4, "0"), F.lit("-"), two(p["month"]), F.lit("-"), two(p["day"]), F.lit("T"), two(hour), F.lit(":"), two(minute), F.lit(":"), F.lpad(F.format_string("%.3f", F.round(second, 3)), 6, "0"))
-        kept = p.isNull() | (iso.startswith(f["value"]) & tod.isNull())
-        return F.when(kept, f).otherwise(_fact(iso, F.concat(F.lit("derived:"), f["source"], F.coalesce(F.concat(F.lit(","), tod["k"]), F.lit("")))))
-
-    return text.once(d, use)
+    Each step is a projection, so that nothing is worked out twice.
+    """
+    c, clock = F.col, r"^\s*(\d{1,2}):(\d{1,2})(?::(\d+(?:\.\d*)?))?\s*$"
+    df = df.withColumn("_d", r.string("date_obs"))
+    tod = F.coalesce(*[F.when(r.raw(k).rlike(clock), F.struct(F.lit(k).alias("k"), r.raw(k).alias("v"))) for k in ("TIME-OBS", "UT", "UTSTART", "UT-START")])
+    df = df.withColumns({"_p": text_datetime(c("_d.value")), "_tod": F.when(~c("_d.value").rlike("[T :]"), tod)})
+    part = lambda k, kind: F.nullif(F.regexp_extract("_tod.v", clock, k), F.lit("")).try_cast(kind)
+    timed = c("_tod").isNotNull()
+    df = df.withColumns({"_hh": F.when(timed, part(1, "int")).otherwise(c("_p.hour")), "_mm": F.when(timed, part(2, "int")).otherwise(c("_p.minute")), "_ss": F.when(timed, F.coalesce(part(3, "double"), F.lit(0.0))).otherwise(c("_p.second"))})
+    two = lambda n: F.lpad(c(n).cast("string"), 2, "0")
+    iso = F.concat(F.lpad(c("_p.year").cast("string"), 4, "0"), F.lit("-"), two("_p.month"), F.lit("-"), two("_p.day"), F.lit("T"), two("_hh"), F.lit(":"), two("_mm"), F.lit(":"), F.lpad(F.format_string("%.3f", F.round("_ss", 3)), 6, "0"))
+    df = df.withColumn("_iso", iso)
+    kept = c("_p").isNull() | (c("_iso").startswith(c("_d.value")) & ~timed)
+    source = F.concat(F.lit("derived:"), c("_d.source"), F.coalesce(F.concat(F.lit(","), c("_tod.k")), F.lit("")))
+    return df.withColumn("date_obs", F.when(kept, c("_d")).when(c("_d").isNotNull(), _fact(c("_iso"), source))).drop("_d", "_p", "_tod", "_hh", "_mm", "_ss", "_iso")
 
 
 def text_datetime(s: Column) -> Column:
@@ -334,9 +337,10 @@ def facts(files: DataFrame, heads: DataFrame, rules: list[Rule] = (), apps: Data
         "binning": F.coalesce(r.fact("binning"), by_name("binning")), "gain": F.coalesce(r.fact("gain"), by_name_float("gain")), "sensor_temp_c": F.coalesce(r.fact("sensor_temp_c"), by_name("temp_c")),
         "row_order": F.coalesce(r.fact("row_order"), order), "filter": F.coalesce(r.fact("filter"), by_name("filter_name")), "frame_type": F.coalesce(r.fact("frame_type"), by_name("prefix")),
         "exposure_s": F.coalesce(r.fact("exposure_s"), by_name("exposure_s")), "stack_count": F.coalesce(r.fact("stack_count"), counted, by_name("frames")),
-        "ra": _position(r, ("RA", "OBJCTRA"), "RA", 1, text.parse_ra, 0.0, 360.0, "ra"), "dec": _position(r, ("DEC", "OBJCTDEC"), "DEC", 2, text.parse_dec, -90.0, 90.0, "dec"), "date_obs": _date(r),
+        "ra": _position(r, ("RA", "OBJCTRA"), "RA", 1, text.parse_ra, 0.0, 360.0, "ra"), "dec": _position(r, ("DEC", "OBJCTDEC"), "DEC", 2, text.parse_dec, -90.0, 90.0, "dec"),
         "site_lat": F.coalesce(r.fact("site_lat"), r.number("site_lat", parse=text.parse_dec)), "site_lon": F.coalesce(r.fact("site_lon"), r.number("site_lon", parse=text.parse_lon)),
     })
+    df = _with_date(df, r)
     for n in ("focal_mm", "aperture_mm", "pixel_um"):
         df = df.withColumn(n, F.coalesce(f"_h_{n}", by_model(n)))
     ratio = F.when(c("focal_mm").isNotNull() & c("aperture_mm").isNotNull(), _fact(c("focal_mm.value") / c("aperture_mm.value"), "derived:focal length,aperture"))
