@@ -93,7 +93,7 @@ def rendered(template: str, values: dict[str, Column]) -> tuple[Column, Column]:
     """The name that `template` gives, and the tokens it lacks (array). A token without a value becomes `unknown`.
 
     template: text with {token}; values: text columns by token. Characters that
-    no file name may hold become _.
+    no file name may hold become _, outer blanks go.
     """
     parts, missing, rest = [], [], template
     while "{" in rest:
@@ -105,16 +105,16 @@ def rendered(template: str, values: dict[str, Column]) -> tuple[Column, Column]:
             break
         key, rest = after.split("}", 1)
         value = values.get(key, F.lit(None).cast("string"))
-        parts.append(F.coalesce(safe(value), F.lit("unknown")))
+        parts.append(F.coalesce(F.trim(safe(value)), F.lit("unknown")))
         missing.append(F.when(value.isNull(), key))
     parts.append(F.lit(rest))
     lacking = F.array_distinct(F.array_compact(F.array(*missing))) if missing else F.array().cast("array<string>")
-    return safe(F.concat(*parts)), lacking
+    return F.trim(safe(F.concat(*parts))), lacking
 
 
 def safe(part: Column) -> Column:
     """Characters that no file name may hold become _."""
-    return F.trim(F.regexp_replace(part, r'[/\\:*?"<>|\p{Cntrl}]', "_"))
+    return F.regexp_replace(part, r'[/\\:*?"<>|\p{Cntrl}]', "_")
 
 
 def compact_duration(seconds: Column) -> Column:

@@ -23,9 +23,8 @@ def _rules(spark: SparkSession, sf: str) -> DataFrame:
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
     """Every change of the headers between a rig's batches and of the rules between revisions."""
-    headers = drift.changes(drift.header_files(read(spark, sf, "hdus")), read(spark, sf, "keydict"))
-    both = headers.unionByName(drift.changes(_rules(spark, sf)))
-    return both.select(F.col("source").alias("rig"), F.col("batch").alias("batch_no"), F.col("path").alias("keyword"), "change", F.col("new_path").alias("new_keyword"))
+    both = drift.header_files(read(spark, sf, "hdus")).unionByName(_rules(spark, sf))
+    return drift.changes(both, read(spark, sf, "keydict")).select(F.col("source").alias("rig"), F.col("batch").alias("batch_no"), F.col("path").alias("keyword"), "change", F.col("new_path").alias("new_keyword"))
 
 
 def _all_files(spark: SparkSession, sf: str) -> DataFrame:
@@ -48,10 +47,8 @@ def p1_appearing(spark: SparkSession, sf: str) -> DataFrame:
 
 def p1_table(spark: SparkSession, sf: str) -> DataFrame:
     """One consistent table of all header units and of the rules of all revisions."""
-    hdus, rules = read(spark, sf, "hdus"), _rules(spark, sf)
-    headers = drift.header_files(hdus).unionByName(drift.unit_files(hdus))
-    found = drift.changes(headers, read(spark, sf, "keydict")).unionByName(drift.changes(rules))
-    return drift.unify(hdus, found.filter(F.col("change") == "renamed"), rules)
+    found = drift.changes(_all_files(spark, sf), read(spark, sf, "keydict"))
+    return drift.unify(read(spark, sf, "hdus"), found.filter(F.col("change") == "renamed"), _rules(spark, sf))
 
 
 def _cells(spark: SparkSession, sf: str, which: str = "true") -> tuple[DataFrame, list[tuple[str, str]]]:

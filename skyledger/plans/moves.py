@@ -45,7 +45,7 @@ def ref_moves(spark, sf):
     return organise.plan(_frames(spark, sf).filter(folder.is_light()), "/sorted", "{object}/{filter}", "{object}_{exptime}s_{night}_{seq}")
 
 
-@query(f"""WITH {_JUDGED}, z AS (SELECT w.*, j.hfr FROM w JOIN j USING (frame_id)) SELECT count(*) FILTER (reasons = '') AS kept, count(*) FILTER (reasons <> '') AS rejected, 0 AS trails, CAST(sum(ms) AS BIGINT) AS captured_ms, CAST(coalesce(sum(ms) FILTER (reasons = ''), 0) AS BIGINT) AS usable_ms, {_median('hfr')} AS median_hfr FROM z""")
+@query(f"""WITH {_JUDGED}, z AS (SELECT w.*, j.hfr FROM w JOIN j USING (frame_id)) SELECT count(*) FILTER (reasons = '') AS kept, count(*) FILTER (reasons <> '') AS rejected, CAST(0 AS BIGINT) AS trails, CAST(sum(ms) AS BIGINT) AS captured_ms, CAST(coalesce(sum(ms) FILTER (reasons = ''), 0) AS BIGINT) AS usable_ms, {_median('hfr')} AS median_hfr FROM z""")
 def ref_grading_summary(spark, sf):
     return folder.grading_totals(ref_graded_subs(spark, sf), _subs(spark, sf))
 
