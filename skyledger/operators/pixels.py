@@ -51,3 +51,25 @@ def rotated(planes: DataFrame, key: str, data: str, width: int, height: int) ->
     """key, data: the plane a quarter turned clockwise, by index alone."""
     turned = F.transform(F.sequence(F.lit(0), F.lit(width * height - 1)), lambda i: F.element_at(F.col(data), ((height - 1 - i % height) * width + F.floor(i / height) + 1).cast("int")))
     return planes.select(key, turned.alias(data))
+
+
+def display_histogram(px: DataFrame, key: str, bins: int = 4096, columns: int = 256) -> DataFrame:
+    """Per plane key, col, n, height: the histogram of `bins` bins in `columns` columns with height ln(1 + n); the first and last bin are left out."""
+    span = px.groupBy(key).agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
+    width = (F.col("hi") - F.col("lo")) / bins
+    place = F.when(width > 0, F.least(F.floor((F.col("value") - F.col("lo")) / width), F.lit(bins - 1))).otherwise(0)
+    shown = px.join(span, key).select(key, place.alias("bin")).filter((F.col("bin") > 0) & (F.col("bin") < bins - 1))
+    return shown.groupBy(key, F.floor(F.col("bin") * columns / bins).alias("col")).agg(F.count("*").alias("n")).withColumn("height", F.log1p("n"))
+
+
+def linear_highlights(shadows: Column, median: Column, top: Column) -> Column:
+    """The white point of a straight display line: the median becomes 0.15, but not past the bright end of the data."""
+    return F.least(F.greatest(F.least(shadows + F.greatest(median - shadows, F.lit(1e-5)) / 0.15, top), shadows + 1e-4), F.lit(1.0))
+
+
+def normalised(px: DataFrame, key: str, full: float | None = None) -> DataFrame:
+    """key, value between 0 and 1: by the type's range (`full`, its greatest value), else by each plane's least and greatest."""
+    if full is not None:
+        return px.select(key, F.least(F.greatest(F.col("value") / full, F.lit(0.0)), F.lit(1.0)).alias("value"))
+    span = px.groupBy(key).agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
+    return px.join(span, key).select(key, F.when(F.col("hi") > F.col("lo"), (F.col("value") - F.col("lo")) / (F.col("hi") - F.col("lo"))).otherwise(0.0).alias("value"))
