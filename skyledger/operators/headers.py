@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skyledger.operators import order
+
 # Keywords whose values aren't compared between files, since they describe the layout or are commentary.
 STRUCTURAL = [
     "SIMPLE", "XTENSION", "BITPIX", "NAXIS", "EXTEND", "PCOUNT", "GCOUNT", "BZERO", "BSCALE", "CHECKSUM",
@@ -33,10 +35,11 @@ def unit_cards(hdus: DataFrame) -> DataFrame:
 
 
 def successive_units(hdus: DataFrame) -> DataFrame:
-    """a, b: every unit (hdu, frame_id) and the one before it of the same rig and hdu. Only ids are sorted, a rig's in one task."""
-    own = Window.partitionBy("rig", "hdu").orderBy("frame_id")
-    units = hdus.select("rig", "frame_id", "hdu").dropDuplicates(["frame_id", "hdu"]).withColumn("before", F.lag("frame_id").over(own))
-    return units.filter("before IS NOT NULL").select(F.struct("hdu", F.col("before").alias("frame_id")).alias("a"), F.struct("hdu", "frame_id").alias("b"))
+    """a, b: every unit (hdu, frame_id) and the one before it of the same rig and hdu. Only ids are sorted, over all partitions."""
+    units = order.numbered(hdus.select("rig", "frame_id", "hdu").dropDuplicates(["frame_id", "hdu"]), ["rig", "hdu"], ["frame_id"], "n")
+    before = units.select("rig", "hdu", (F.col("n") + 1).alias("n"), F.col("frame_id").alias("before"))
+    met = units.join(before, [units["rig"].eqNullSafe(before["rig"]), units["hdu"] == before["hdu"], units["n"] == before["n"]])
+    return met.select(F.struct(units["hdu"], F.col("before").alias("frame_id")).alias("a"), F.struct(units["hdu"], units["frame_id"]).alias("b"))
 
 
 def first_values(cards: DataFrame, keys: list[str]) -> DataFrame:

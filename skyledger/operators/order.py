@@ -19,10 +19,13 @@ def running(df: DataFrame, keys: list[str], order: list[str], value: str, into:
     placed = cut(df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)).withColumn("_p", F.spark_partition_id())
     total = placed.groupBy(*keys, "_p").agg(F.sum(value).alias("_t"))
     earlier = Window.partitionBy(*keys).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    base = total.select(*keys, "_p", F.coalesce(F.sum("_t").over(earlier), F.lit(0)).alias("_base"))
+    base = total.select(*[F.col(k).alias(f"_b{i}") for i, k in enumerate(keys)], F.col("_p").alias("_bp"), F.coalesce(F.sum("_t").over(earlier), F.lit(0)).alias("_base"))
     inside = Window.partitionBy(*keys, "_p").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     summed = placed.withColumn(into, F.coalesce(F.sum(value).over(inside), F.lit(0)))
-    return summed.join(base, [*keys, "_p"]).withColumn(into, F.col(into) + F.col("_base")).drop("_p", "_base")
+    # null is a key like any other
+    same = [F.col(k).eqNullSafe(F.col(f"_b{i}")) for i, k in enumerate(keys)]
+    met = summed.join(base, [*same, F.col("_p") == F.col("_bp")])
+    return met.withColumn(into, F.col(into) + F.col("_base")).drop("_p", "_bp", "_base", *[f"_b{i}" for i in range(len(keys))])
 
 
 def blocks(df: DataFrame, key: str, item: str, rows: int) -> DataFrame:

@@ -71,6 +71,8 @@ def test_blocks_of_skewed_ids(spark):
     sizes = {(r["k"], r["block"]): (r["n_rows"], r["lo"], r["hi"]) for r in placed.groupBy("k", "block").agg(F.count("*").alias("n_rows"), F.min("item").alias("lo"), F.max("item").alias("hi")).collect()}
     hot = [sizes["hot", b] for b in range(len(sizes) - 1)]
     assert sum(n for n, _, _ in hot) == len(ids) and max(n for n, _, _ in hot) < 2 * 160 and all(a[2] < b[1] for a, b in zip(hot, hot[1:]))
+    odd = spark.createDataFrame([(None, 3), (None, 1), ("a", 2)], "k string, item bigint")
+    assert {tuple(r) for r in order.numbered(odd, ["k"], ["item"], "at").collect()} == {(None, 1, 1), (None, 3, 2), ("a", 2, 1)}
     numbers = {r["item"]: r["at"] for r in order.numbered(df, ["k"], ["item"], "at").filter("k = 'hot'").collect()}
     assert numbers == {i: k + 1 for k, i in enumerate(sorted(ids))}
 
