@@ -37,9 +37,9 @@ def unit_cards(hdus: DataFrame) -> DataFrame:
 def successive_units(hdus: DataFrame) -> DataFrame:
     """a, b: every unit (hdu, frame_id) and the one before it of the same rig and hdu. Only ids are sorted, over all partitions."""
     units = order.numbered(hdus.select("rig", "frame_id", "hdu").dropDuplicates(["frame_id", "hdu"]), ["rig", "hdu"], ["frame_id"], "n")
-    before = units.select("rig", "hdu", (F.col("n") + 1).alias("n"), F.col("frame_id").alias("before"))
-    met = units.join(before, [units["rig"].eqNullSafe(before["rig"]), units["hdu"] == before["hdu"], units["n"] == before["n"]])
-    return met.select(F.struct(units["hdu"], F.col("before").alias("frame_id")).alias("a"), F.struct(units["hdu"], units["frame_id"]).alias("b"))
+    before = units.select(F.col("rig").alias("_rig"), F.col("hdu").alias("_hdu"), (F.col("n") + 1).alias("_n"), F.col("frame_id").alias("before"))
+    met = units.join(before, F.col("rig").eqNullSafe(F.col("_rig")) & (F.col("hdu") == F.col("_hdu")) & (F.col("n") == F.col("_n")))
+    return met.select(F.struct("hdu", F.col("before").alias("frame_id")).alias("a"), F.struct("hdu", "frame_id").alias("b"))
 
 
 def first_values(cards: DataFrame, keys: list[str]) -> DataFrame:
