@@ -15,7 +15,7 @@ import re
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyledger.operators import headers
@@ -77,6 +77,26 @@ def resolve(spark: SparkSession, inputs: list[str], roots: list[str] | None = No
     return found.orderBy("path")
 
 
+#: Bytes outside the printable ones become ?.
+PRINTABLE = bytes(b if 32 <= b <= 126 else 63 for b in range(256))
+
+
+def _sizes(header: str):
+    """Whole numbers of a header's keywords, read in one go; of a keyword given twice the first."""
+    told: dict[str, str] = {}
+    for at in range(0, len(header), CARD):
+        if header[at + 8 : at + 10] == "= ":
+            told.setdefault(header[at : at + 8].rstrip(), header[at + 10 : at + CARD])
+
+    def number(key: str, default: int = 0) -> int:
+        try:
+            return int(float(told[key].split("/")[0])) if key in told else default
+        except ValueError:
+            return default
+
+    return number
+
+
 def _walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """The header text and the place of the data of each unit, one block at a time."""
     for files in batches:
@@ -95,10 +115,11 @@ def _walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     if not head:
                         rows.append((path, size, hdu, at, "", at, 0, "not_fits" if hdu == 0 else "trailing_bytes"))
                         break
-                    text = "".join(chr(b) if 32 <= b <= 126 else "?" for b in head)
-                    axes = [_number(text, f"NAXIS{i + 1}") for i in range(_number(text, "NAXIS"))]
+                    text = head.translate(PRINTABLE).decode("ascii")
+                    size_of = _sizes(text)
+                    axes = [size_of(f"NAXIS{i + 1}") for i in range(size_of("NAXIS"))]
                     n = int(np.prod(axes)) if axes else 0
-                    data = abs(_number(text, "BITPIX")) // 8 * _number(text, "GCOUNT", 1) * (_number(text, "PCOUNT") + n) if axes else 0
+                    data = abs(size_of("BITPIX")) // 8 * size_of("GCOUNT", 1) * (size_of("PCOUNT") + n) if axes else 0
                     start = at + len(head)
                     issue = "missing_end" if not ended else "truncated_data" if start + data > size else None
                     rows.append((path, size, hdu, at, text, start, data, issue))
@@ -161,22 +182,27 @@ def _shape(cards_of: DataFrame) -> DataFrame:
 
 
 def cards(units: DataFrame) -> DataFrame:
-    """path, hdu, record, keyword, value_type, value_text, note of every card before END; CONTINUE lines are joined on."""
+    """path, hdu, record, keyword, value_type, value_text, note, hierarch of every card before END; CONTINUE lines are joined on.
+
+    All within a header's row: nothing is shuffled.
+    """
     n = F.floor(F.length("header") / CARD).cast("int")
-    lines = F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: F.substr(F.col("header"), i * CARD + 1, F.lit(CARD)))
-    cutup = units.filter(n > 0).select("path", "hdu", F.posexplode(lines).alias("record", "line"))
-    end = units.filter(n > 0).select("path", "hdu", F.array_position(F.transform(lines, lambda x: F.rtrim(x)), "END").alias("end"))
-    real = cutup.join(end, ["path", "hdu"]).filter((F.col("end") == 0) | (F.col("record") + 1 < F.col("end"))).drop("end").filter(F.trim("line") != "")
-    continued = F.col("line").startswith("CONTINUE")
-    as_value = F.when(continued, F.concat(F.lit("CONTINUE= "), F.substring("line", 11, 70))).otherwise(F.col("line"))
-    parsed = real.select("path", "hdu", "record", continued.alias("more"), headers.parse_record(as_value).alias("c"))
-    w = Window.partitionBy("path", "hdu").orderBy("record")
-    grouped = parsed.withColumn("card", F.sum(F.when(F.col("more"), 0).otherwise(1)).over(w))
-    joined = grouped.groupBy("path", "hdu", "card").agg(F.min("record").alias("record"), F.array_sort(F.collect_list(F.struct("record", "c"))).alias("parts"))
-    text = F.aggregate("parts", F.lit(""), lambda s, p: F.concat(F.regexp_replace(s, "&$", ""), F.coalesce(p["c"]["value_text"], F.lit(""))))
-    notes = F.concat_ws(" ", F.transform("parts", lambda p: p["c"]["note"]))
-    first = F.col("parts")[0]["c"]
-    return joined.select("path", "hdu", "record", first["keyword"].alias("keyword"), first["value_type"].alias("value_type"), text.alias("value_text"), F.when(notes != "", notes).alias("note"))
+    lines = F.transform(F.sequence(F.lit(1), n), lambda i: F.substr(F.col("header"), (i - 1) * CARD + 1, F.lit(CARD)))
+    cutup = units.filter(n > 0).select("path", "hdu", lines.alias("lines"))
+    end = F.array_position(F.transform("lines", lambda x: F.rtrim(x)), "END").cast("int")
+    cutup = cutup.select("path", "hdu", F.when(end > 0, F.slice("lines", F.lit(1), end - 1)).otherwise(F.col("lines")).alias("lines"))
+    more = lambda x: F.coalesce(x.startswith("CONTINUE"), F.lit(False))
+
+    def card(x: Column, i: Column) -> Column:
+        # a card is its line and the run of CONTINUE lines behind it, which few have
+        behind = F.slice("lines", i + 2, F.size("lines"))
+        stop = F.array_position(F.transform(behind, lambda y: more(y)), False).cast("int")
+        run = F.when(stop > 0, F.slice(behind, F.lit(1), stop - 1)).otherwise(behind)
+        whole = F.when(more(F.get(F.col("lines"), i + 1)), F.concat(F.array(x), run)).otherwise(F.array(x))
+        return F.when(~(more(x) & (i > 0)) & (F.trim(x) != ""), F.struct(i.cast("int").alias("record"), whole.alias("records")))
+
+    told = cutup.select("path", "hdu", F.explode(F.array_compact(F.transform("lines", card))).alias("x")).select("path", "hdu", "x.record", headers.parse_records(F.col("x.records")).alias("c"))
+    return told.select("path", "hdu", "record", "c.keyword", "c.value_type", "c.value_text", "c.note", "c.hierarch")
 
 
 def planes(units: DataFrame) -> DataFrame:
